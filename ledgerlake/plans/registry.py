@@ -19,13 +19,14 @@ QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
 
 
-def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+def register(name: str, sql: str | None = None,
+             ctes: tuple[tuple[str, str], ...] = ()) -> Callable[[Query], Query]:
     def deco(fn: Query) -> Query:
         if name in QUERIES:
             raise ValueError(f"duplicate query name {name}")
         QUERIES[name] = fn
         if sql is not None:
-            ORACLE[name] = with_views(sql)
+            ORACLE[name] = with_views(sql, *ctes)
         return fn
     return deco
 

@@ -121,3 +121,29 @@ def raw_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k.isin(25, 26), "desk").when(k == 27, "").when(k == 31, "WEB")
         .otherwise(_channel_of(F.col("o_orderpriority"))).alias("sourceChannel"),
     )
+
+
+def _event_channel(event_type: Column) -> Column:
+    return (F.when(event_type == "signup", "web").when(event_type == "view", "mobile")
+            .when(event_type == "click", "pos").when(event_type == "purchase", "api")
+            .otherwise("import"))
+
+
+def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clean all-string input rows derived from ``events`` (January 2024).
+
+    Every customer here is new to the customers table (``User#`` ids), so
+    this input exercises customer creation; ingest it with a clock after
+    January 2024.
+    """
+    e = read_table(spark, sf_dir, "events")
+    eid = F.col("event_id")
+    return e.select(
+        (eid + 1).alias("row_number"),
+        F.concat(F.lit("User#"), F.lpad(F.col("user_id").cast("string"), 9, "0")).alias("customerId"),
+        F.concat(F.lit("EVT-"), F.lpad(eid.cast("string"), 10, "0")).alias("transactionId"),
+        F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("transactionDate"),
+        F.col("value").cast("decimal(18,2)").cast("string").alias("amount"),
+        _currency_of(eid).alias("currency"),
+        _event_channel(F.col("event_type")).alias("sourceChannel"),
+    )
