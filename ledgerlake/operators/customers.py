@@ -53,6 +53,30 @@ def resolve_keys(rows: DataFrame, resolved: DataFrame, col: str = CUST) -> DataF
     return rows.join(keys, col, "left")
 
 
+def resolve_or_assign(rows: DataFrame, customers: DataFrame, col: str = CUST) -> DataFrame:
+    """J6 + S10 in one left join: ``customer_id`` of a stored customer, else the
+    new deterministic id; ``customer_is_new`` marks the second case.
+
+    The join is on the external id; Catalyst/AQE broadcast the customers side
+    only when its measured size is under the threshold, else both sides are
+    hash-partitioned (a hot customer is split by AQE skew handling).
+    """
+    known = customers.select(F.col("external_id").alias(col), F.col("id").alias("_known_id"))
+    joined = rows.join(known, col, "left")
+    is_new = F.col("_known_id").isNull() & F.col(col).isNotNull()
+    return (joined.withColumn("customer_is_new", is_new)
+            .withColumn("customer_id", F.coalesce(F.col("_known_id"), surrogate_id(F.col(col))))
+            .drop("_known_id"))
+
+
+def created_customers(classified: DataFrame, now: Column, col: str = CUST) -> DataFrame:
+    """New customers of accepted rows, one row each (id, external_id, created_at)."""
+    return (classified.filter((F.col("status") == C.STATUS_ACCEPTED) & F.col("customer_is_new"))
+            .select(F.col("customer_id").alias("id"), F.col(col).alias("external_id"))
+            .distinct()
+            .withColumn("created_at", now))
+
+
 def unresolved_error(col: str = CUST) -> Column:
     msg = F.replace(F.lit(C.MSG_CUSTOMER_UNRESOLVED), F.lit("{customer}"), F.col(col))
     return F.struct(F.lit(col).alias("field"), F.lit(C.ERR_CUST_UNRESOLVED).alias("code"),

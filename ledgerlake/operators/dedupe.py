@@ -45,32 +45,30 @@ def exists_flags(batch: DataFrame, store: DataFrame, id_col: str = ID) -> DataFr
             .withColumn("exists", F.coalesce(F.col("exists"), F.lit(False))))
 
 
+ORDER_KEY = "row_key"
+
+
 def first_occurrence(candidates: DataFrame, store: DataFrame | None,
-                     order_cols: tuple[str, ...] = ("source_file", "row_number"),
-                     id_col: str = ID) -> DataFrame:
+                     order_col: str = ORDER_KEY, id_col: str = ID) -> DataFrame:
     """W3 + J2 in one aggregate: per id, who owns it.
 
-    Returns (id, ``_owner``) where ``_owner`` is the smallest
-    (origin, order...) struct: origin 0 for an id already stored, 1 for a
-    batch row. A batch row is accepted iff the owner is itself.
+    Returns (id, ``_owner``): the smallest ingest-order key among the
+    batch's rows with that id, or -1 when the id is already stored. A batch
+    row is accepted iff the owner is its own key. The key is a ``bigint`` so
+    the aggregate stays a hash aggregate with a map-side partial step.
     """
-    order = [F.col(c) for c in order_cols]
-    mine = candidates.select(id_col, F.struct(F.lit(1).alias("origin"), *order).alias("_key"))
+    mine = candidates.select(id_col, F.col(order_col).cast("bigint").alias("_key"))
     parts = mine
     if store is not None:
         stored = _stored_hits(candidates, store, id_col)
-        nulls = [F.lit(None).cast(candidates.schema[c].dataType).alias(c) for c in order_cols]
-        parts = stored.select(id_col, F.struct(F.lit(0).alias("origin"), *nulls).alias("_key")) \
-            .unionByName(mine)
+        parts = stored.select(id_col, F.lit(-1).cast("bigint").alias("_key")).unionByName(mine)
     return parts.groupBy(id_col).agg(F.min("_key").alias("_owner"))
 
 
 def mark_duplicates(valid: DataFrame, store: DataFrame | None,
-                    order_cols: tuple[str, ...] = ("source_file", "row_number"),
-                    id_col: str = ID) -> DataFrame:
+                    order_col: str = ORDER_KEY, id_col: str = ID) -> DataFrame:
     """Adds ``dup_code``: null (first valid occurrence), dup_stored or dup_batch."""
-    owners = first_occurrence(valid, store, order_cols, id_col)
-    own = F.struct(F.lit(1).alias("origin"), *[F.col(c) for c in order_cols])
-    code = (F.when(F.col("_owner.origin") == 0, F.lit(C.ERR_DUP_STORED))
-            .when(F.col("_owner") != own, F.lit(C.ERR_DUP_BATCH)))
+    owners = first_occurrence(valid, store, order_col, id_col)
+    code = (F.when(F.col("_owner") == -1, F.lit(C.ERR_DUP_STORED))
+            .when(F.col("_owner") != F.col(order_col), F.lit(C.ERR_DUP_BATCH)))
     return valid.join(owners, id_col, "inner").withColumn("dup_code", code).drop("_owner")

@@ -25,15 +25,18 @@ from ..functions.parsing import to_stored_amount
 from ..functions.rules import (AMOUNT_COL, DATE_COL, ERRORS_COL, ERROR_TYPE, as_of_literal,
                                is_valid, validate_text_rows, validate_typed_rows)
 from ..operators import customers as cust
-from ..operators.dedupe import mark_duplicates
-
-ORDER_COLS = ("source_file", "row_number")
+from ..operators.dedupe import ORDER_KEY, mark_duplicates
 
 
 @dataclass
 class IngestResult:
     classified: DataFrame
-    created_customers: DataFrame
+    clock: Column
+
+    @property
+    def created_customers(self) -> DataFrame:
+        """Customers to append (only those of accepted rows, D4)."""
+        return cust.created_customers(self.classified, self.clock)
 
     @property
     def accepted(self) -> DataFrame:
@@ -54,9 +57,18 @@ def _dup_error(code: Column) -> Column:
 
 
 def classify_batch(validated: DataFrame, store: DataFrame | None, customers: DataFrame,
-                   as_of: str | None = None,
-                   order_cols: tuple[str, ...] = ORDER_COLS) -> IngestResult:
-    """One status per input row (validated by ``validate_*_rows``)."""
+                   as_of: str | None = None) -> IngestResult:
+    """One status per input row (validated by ``validate_*_rows``).
+
+    Input rows carry ``row_key``, a bigint giving ingest order (file order,
+    then row number); the first valid row of an id in that order wins.
+
+    Plan shape: invalid rows bypass every shuffle. Valid rows go through one
+    aggregate (owner per id, with the store hits folded in) and one left
+    join to the customers table on the external id. A customer that is not
+    found gets its deterministic new id inline, so the set of created
+    customers is a projection of the same frame, not another join.
+    """
     clock = as_of_literal(as_of)
     empty_errors = F.array().cast(ERROR_TYPE)
 
@@ -66,40 +78,34 @@ def classify_batch(validated: DataFrame, store: DataFrame | None, customers: Dat
 
     # Only valid rows take part in duplicate detection: invalid rows never
     # claim an id and are not shuffled at all.
-    marked = mark_duplicates(validated.filter(is_valid()), store, order_cols)
-    dups = (marked.filter(F.col("dup_code").isNotNull())
-            .withColumn(ERRORS_COL, F.array(_dup_error(F.col("dup_code"))))
-            .withColumn("customer_id", F.lit(None).cast("string"))
-            .withColumn("status", F.lit(C.STATUS_DUPLICATE))
-            .drop("dup_code"))
-
-    firsts = marked.filter(F.col("dup_code").isNull()).drop("dup_code")
-    wanted = cust.distinct_customers(firsts)
-    resolved, created = cust.get_or_create(wanted, customers, clock)
-    keyed = cust.resolve_keys(firsts, resolved)
-    ok = F.col("customer_id").isNotNull()
-    keyed = (keyed.withColumn(ERRORS_COL, F.when(ok, empty_errors)
-                              .otherwise(F.array(cust.unresolved_error())))
-             .withColumn("status", F.when(ok, F.lit(C.STATUS_ACCEPTED))
-                         .otherwise(F.lit(C.STATUS_UNRESOLVED))))
-
-    classified = invalid.unionByName(dups).unionByName(keyed)
-    return IngestResult(classified, created)
+    marked = mark_duplicates(validated.filter(is_valid()), store, ORDER_KEY)
+    keyed = cust.resolve_or_assign(marked, customers)
+    first = F.col("dup_code").isNull()
+    resolved = F.col("customer_id").isNotNull()
+    keyed = (keyed
+             .withColumn("status", F.when(~first, F.lit(C.STATUS_DUPLICATE))
+                         .when(resolved, F.lit(C.STATUS_ACCEPTED))
+                         .otherwise(F.lit(C.STATUS_UNRESOLVED)))
+             .withColumn(ERRORS_COL, F.when(~first, F.array(_dup_error(F.col("dup_code"))))
+                         .when(resolved, empty_errors)
+                         .otherwise(F.array(cust.unresolved_error())))
+             .withColumn("customer_id", F.when(first, F.col("customer_id"))))
+
+    classified = invalid.unionByName(keyed, allowMissingColumns=True)
+    return IngestResult(classified, clock)
 
 
 def ingest_text_batch(raw: DataFrame, store: DataFrame | None, customers: DataFrame,
-                      as_of: str | None = None,
-                      order_cols: tuple[str, ...] = ORDER_COLS) -> IngestResult:
-    """CSV-style batch: all-string rows with ``source_file`` and ``row_number``."""
-    return classify_batch(validate_text_rows(raw, as_of), store, customers, as_of, order_cols)
+                      as_of: str | None = None) -> IngestResult:
+    """CSV-style batch: all-string rows with ``row_key`` (and usually
+    ``source_file`` / ``row_number`` for reporting)."""
+    return classify_batch(validate_text_rows(raw, as_of), store, customers, as_of)
 
 
 def ingest_typed_batch(records: DataFrame, store: DataFrame | None, customers: DataFrame,
-                       as_of: str | None = None,
-                       order_cols: tuple[str, ...] = ORDER_COLS) -> IngestResult:
+                       as_of: str | None = None) -> IngestResult:
     """JSON-style batch: ``txn_date`` / ``txn_amount`` already typed."""
-    return classify_batch(validate_typed_rows(records, as_of), store, customers, as_of,
-                          order_cols)
+    return classify_batch(validate_typed_rows(records, as_of), store, customers, as_of)
 
 
 def accepted_transactions(classified: DataFrame, as_of: str | None = None) -> DataFrame:

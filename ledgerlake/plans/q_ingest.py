@@ -23,11 +23,14 @@ EV = (("validated_events", validated_sql("raw_events", EVENTS_AS_OF)),)
 
 
 def raw_batch(spark, sf):
-    return tables.raw_transactions(spark, sf).withColumn("source_file", F.lit("orders"))
+    # one logical input file: ingest order is the row number
+    return tables.raw_transactions(spark, sf).withColumns(
+        {"source_file": F.lit("orders"), "row_key": F.col("row_number")})
 
 
 def events_batch(spark, sf):
-    return tables.raw_events(spark, sf).withColumn("source_file", F.lit("events"))
+    return tables.raw_events(spark, sf).withColumns(
+        {"source_file": F.lit("events"), "row_key": F.col("row_number")})
 
 
 def validated(spark, sf):
