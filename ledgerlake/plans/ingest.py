@@ -146,3 +146,43 @@ def errors_by_field(classified: DataFrame) -> DataFrame:
     e = classified.select(F.explode(ERRORS_COL).alias("e"))
     return (e.groupBy(F.col("e.field").alias("field"), F.col("e.code").alias("code"))
             .agg(F.count(F.lit(1)).alias("failures")))
+
+
+def run_ingest(batch: DataFrame, root: str, label: str, as_of: str | None = None,
+               typed: bool = False, base_transactions: DataFrame | None = None,
+               base_customers: DataFrame | None = None) -> dict:
+    """Ingest one batch into the store at ``root`` under partition ``label``.
+
+    ``base_*`` are stored tables that live outside ``root`` (e.g. history
+    loaded before this engine); they are read, never written. Returns the
+    batch counters (one small row).
+    """
+    from ..session import scratch_path
+    from ..sources import store
+
+    spark = batch.sparkSession
+    tx = store.read_transactions(spark, root, exclude_batch=label)
+    cu = store.read_customers(spark, root, exclude_batch=label)
+    if base_transactions is not None:
+        tx = base_transactions.select(*tx.columns).unionByName(tx)
+    if base_customers is not None:
+        cu = base_customers.select(*cu.columns).unionByName(cu)
+    if as_of is None:
+        # one clock for the whole batch, also when a stage is recomputed
+        as_of = spark.range(1).select(F.current_timestamp().cast("timestamp_ntz")
+                                      .cast("string")).first()[0]
+    result = (ingest_typed_batch if typed else ingest_text_batch)(batch, tx, cu, as_of)
+
+    # Cut the lineage: the classification is written once to shared storage,
+    # and every output below is read from that table.
+    staged = scratch_path(spark, "classified")
+    result.classified.write.parquet(staged)
+    classified = spark.read.parquet(staged)
+    done = IngestResult(classified, as_of_literal(as_of))
+
+    store.append_customers(done.created_customers, root, label)
+    store.append_transactions(accepted_transactions(classified, as_of), root, label)
+    store.write_rejects(quarantine_rows(classified), root, label)
+    counters = ingest_counters(classified)
+    store.write_counters(counters, root, label)
+    return counters.first().asDict()
