@@ -1 +1,63 @@
-"""Registered queries."""
+"""Registered source queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..sources import files, tables
+from .fixtures import write_csv_splits, write_json_splits
+from .registry import register
+
+SPLIT_ROW = "row_number() OVER (PARTITION BY row_number % 3 ORDER BY row_number)"
+
+
+@register("scan_transactions", "SELECT * FROM transactions")
+def q_scan_transactions(spark, sf):
+    return tables.scan_transactions(tables.transactions(spark, sf))
+
+
+@register("scan_customers", "SELECT * FROM customers")
+def q_scan_customers(spark, sf):
+    return tables.scan_customers(tables.customers(spark, sf))
+
+
+@register("scan_csv_by_header", f"""
+SELECT {SPLIT_ROW} AS row_number, customerId, transactionId, transactionDate, amount, currency,
+       CASE WHEN row_number % 3 = 2 THEN '' ELSE sourceChannel END AS sourceChannel
+FROM raw_transactions""")
+def q_scan_csv_by_header(spark, sf):
+    path = write_csv_splits(tables.raw_transactions(spark, sf))
+    df = files.read_csv_by_header(spark, path)
+    return df.drop("source_file", "row_key")
+
+
+@register("row_numbers", f"""
+SELECT transactionId, {SPLIT_ROW} AS row_number FROM raw_transactions""")
+def q_row_numbers(spark, sf):
+    path = write_csv_splits(tables.raw_transactions(spark, sf), "rownum")
+    return files.read_csv_by_header(spark, path, multi_line=False) \
+        .select("transactionId", "row_number")
+
+
+@register("scan_json_records", f"""
+SELECT {SPLIT_ROW} AS row_number, customerId, transactionId,
+       try_cast(amount AS DECIMAL(38,10)) AS txn_amount, currency, sourceChannel
+FROM raw_transactions""")
+def q_scan_json_records(spark, sf):
+    path = write_json_splits(tables.raw_transactions(spark, sf))
+    return files.read_json_records(spark, path).select(
+        "row_number", "customerId", "transactionId", "txn_amount", "currency", "sourceChannel")
+
+
+@register("admit_files")
+def q_admit_files(spark, sf):
+    # every table file of the scale directory: all are refused as not CSV
+    return files.admit_files(spark, sf)
+
+
+@register("unnest_parallel_arrays", "SELECT * FROM customers")
+def q_unnest_parallel_arrays(spark, sf):
+    from ..sources.inline import chunked_parallel_arrays, unnest_parallel_arrays
+    chunks = chunked_parallel_arrays(tables.customers(spark, sf), "id",
+                                     ("id", "external_id", "created_at"))
+    return unnest_parallel_arrays(chunks, ("id", "external_id", "created_at"))
