@@ -22,11 +22,20 @@ LAYOUTS = (
 )
 
 
-def write_csv_splits(raw: DataFrame, label: str = "csv") -> str:
+# Three complete layouts (every field present, in different orders).
+FULL_LAYOUTS = (
+    list(C.INPUT_FIELDS),
+    list(reversed(C.INPUT_FIELDS)),
+    ["currency", "transactionId", "sourceChannel", "amount", "customerId", "transactionDate"],
+)
+
+
+def write_csv_splits(raw: DataFrame, label: str = "csv",
+                     layouts: tuple[list[str], ...] = LAYOUTS) -> str:
     """Three CSV files (split on row_number % 3), each with its own header layout."""
     spark = raw.sparkSession
     out = scratch_path(spark, label)
-    for i, layout in enumerate(LAYOUTS):
+    for i, layout in enumerate(layouts):
         part = raw.filter(F.col("row_number") % 3 == i).withColumn("note", F.lit("x"))
         (part.orderBy("row_number").select(*layout).coalesce(1)
          .write.option("header", True).option("escape", '"')

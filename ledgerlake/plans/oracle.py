@@ -131,19 +131,49 @@ FROM (SELECT *, {_date_sql('transactionDate')} AS txn_date,
       FROM {source}) p"""
 
 
-def classified_sql(validated: str) -> str:
-    """Status per row: invalid > duplicate (stored, or not the first valid row) > accepted."""
+def classified_sql(validated: str, order: str = "row_number") -> str:
+    """Status per row: invalid > duplicate (stored, or not the first valid row in
+    ``order``) > accepted."""
     return f"""
 SELECT v.*,
   CASE WHEN len(codes) > 0 THEN 'invalid'
        WHEN transactionId IN (SELECT external_transaction_id FROM stored_transactions)
             THEN 'duplicate'
-       WHEN row_number <> min(CASE WHEN len(codes) = 0 THEN row_number END)
+       WHEN {order} <> min(CASE WHEN len(codes) = 0 THEN {order} END)
                           OVER (PARTITION BY transactionId) THEN 'duplicate'
        ELSE 'accepted' END AS status,
   CASE WHEN len(codes) > 0 THEN NULL
        WHEN transactionId IN (SELECT external_transaction_id FROM stored_transactions)
             THEN 'dup_stored'
-       WHEN row_number <> min(CASE WHEN len(codes) = 0 THEN row_number END)
+       WHEN {order} <> min(CASE WHEN len(codes) = 0 THEN {order} END)
                           OVER (PARTITION BY transactionId) THEN 'dup_batch' END AS dup_code
 FROM {validated} v"""
+
+
+def validated_json_sql(source: str, as_of: str) -> str:
+    """Typed-record (JSON) rule set over ``source``: amount is a JSON number
+    (text cast as a number), the date must be ISO text, else the record is corrupt."""
+    clock = f"TIMESTAMP '{as_of}'"
+
+    def b(c):
+        return f"regexp_matches({c}, '^\\s*$')"
+    checks = [
+        ("transactionDate IS NOT NULL AND txn_date IS NULL", "record_corrupt"),
+        (b("customerId"), "cust_empty"), ("length(customerId) > 100", "cust_len"),
+        (b("transactionId"), "txn_empty"), ("length(transactionId) > 255", "txn_len"),
+        ("txn_date IS NULL", "date_empty"), (f"txn_date > {clock}", "date_future"),
+        (f"coalesce(txn_date < {clock} - INTERVAL 10 YEAR, true)", "date_old"),
+        ("coalesce(txn_amount, 0) <= 0", "amt_pos"),
+        ("coalesce(txn_amount, 0) >= 1000000000", "amt_max"),
+        (b("currency"), "cur_empty"), ("length(currency) <> 3", "cur_len"),
+        ("NOT regexp_matches(currency, '^[A-Z]{3}$')", "cur_fmt"),
+        (b("sourceChannel"), "chan_empty"),
+        ("NOT coalesce(sourceChannel IN ('web','mobile','pos','api','import'), false)",
+         "chan_set"),
+    ]
+    items = ", ".join(f"CASE WHEN {c} THEN '{code}' END" for c, code in checks)
+    return f"""
+SELECT *, list_filter([{items}], lambda x: x IS NOT NULL) AS codes
+FROM (SELECT * EXCLUDE (amount), {_date_sql('transactionDate')} AS txn_date,
+             try_cast(amount AS DECIMAL(38,10)) AS txn_amount
+      FROM {source}) p"""
