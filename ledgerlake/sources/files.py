@@ -121,6 +121,9 @@ def admit_files(spark: SparkSession, path: str, max_bytes: int | None = None) ->
 
     Only path and length are selected, so file contents are never read.
     The size cap is off unless given (the original's cap was an HTTP limit).
+    Zero-length files are skipped by Spark's file listing itself, so they
+    never appear here and never contribute rows; the ``empty`` reason covers
+    listings that do pass them through.
     """
     files = spark.read.format("binaryFile").load(path).select("path", "length")
     reason = (F.when(F.col("length") == 0, F.lit("empty"))
