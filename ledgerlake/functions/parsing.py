@@ -31,6 +31,10 @@ MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct",
 # trailing), digits with thousands commas before an optional point, at least
 # one digit, no exponent, no currency symbol.
 DECIMAL_TEXT = r"^\s*([+-]?)(\d[\d,]*)?(\.(\d*))?([+-]?)\s*$"
+# The same grammar as one gate: one sign at most, leading or trailing, and
+# at least one digit.
+_NUM = r"(?:\d[\d,]*(?:\.\d*)?|\.\d+)"
+DECIMAL_GATE = rf"^\s*(?:[+-]?{_NUM}|{_NUM}[+-])\s*$"
 
 BLANK = r"(?U)^\s*$"
 
@@ -40,24 +44,16 @@ def is_blank(c: Column) -> Column:
     return F.coalesce(c.rlike(BLANK), F.lit(True))
 
 
-def _offset_minutes(off: Column) -> Column:
-    """Minutes east of UTC from 'Z', '+05', '+0530' or '+05:30' (0 when absent)."""
-    digits = F.regexp_replace(off, r"[^0-9]", "")
-    hours = F.substring(digits, 1, 2).cast("int")
-    minutes = F.coalesce(F.nullif(F.substring(digits, 3, 2), F.lit("")).cast("int"), F.lit(0))
-    sign = F.when(F.substring(off, 1, 1) == "-", F.lit(-1)).otherwise(F.lit(1))
-    return F.when(F.upper(off).isin("", "Z") | off.isNull(), F.lit(0)) \
-        .otherwise(sign * (hours * 60 + minutes))
-
-
 def _iso_timestamp(s: Column) -> Column:
-    date_part = F.regexp_extract(s, ISO_DATETIME, 1)
-    time_part = F.regexp_extract(s, ISO_DATETIME, 2)
-    off = F.regexp_extract(s, ISO_DATETIME, 3)
-    local_text = F.concat_ws(" ", date_part, F.nullif(time_part, F.lit("")))
-    local = local_text.try_cast("timestamp_ntz")
-    shift = F.make_dt_interval(F.lit(0), F.lit(0), _offset_minutes(off))
-    return F.when(s.rlike(ISO_DATETIME), local - shift)
+    """ISO branch: one regex gate, then Spark's own timestamp cast.
+
+    The gate keeps out what the cast would over-accept ('2024', '12:30');
+    the cast applies a Z / offset and yields an instant, which is turned
+    into UTC wall-clock ``timestamp_ntz`` independently of the session zone.
+    """
+    instant = F.upper(s).try_cast("timestamp")
+    wall = F.convert_timezone(F.current_timezone(), F.lit("UTC"), instant.cast("timestamp_ntz"))
+    return F.when(s.rlike(ISO_DATETIME), wall)
 
 
 def _us_timestamp(s: Column) -> Column:
@@ -84,20 +80,17 @@ def parse_timestamp(s: Column) -> Column:
 def parse_amount(s: Column) -> Column:
     """Invariant decimal text -> decimal(38,10), or null.
 
-    The regex gate rejects what a bare cast would wrongly accept (``1e3``)
-    and the comma strip accepts what a bare cast would wrongly reject
-    (``1,234.5``). A trailing sign is moved to the front.
+    One regex gate accepts the grammar (it rejects what a bare cast would
+    wrongly accept, like ``1e3``); then commas and surrounding blanks are
+    dropped (a bare cast would wrongly reject ``1,234.5``) and a trailing
+    sign is moved to the front before the cast.
     """
-    lead = F.regexp_extract(s, DECIMAL_TEXT, 1)
-    int_part = F.regexp_replace(F.regexp_extract(s, DECIMAL_TEXT, 2), ",", "")
-    frac = F.regexp_extract(s, DECIMAL_TEXT, 4)
-    trail = F.regexp_extract(s, DECIMAL_TEXT, 5)
-    has_digit = (F.length(int_part) + F.length(frac)) > 0
-    one_sign = ~((lead != "") & (trail != ""))
-    text = F.concat(lead, trail, F.when(int_part == "", F.lit("0")).otherwise(int_part),
-                    F.lit("."), F.when(frac == "", F.lit("0")).otherwise(frac))
-    return F.when(s.rlike(DECIMAL_TEXT) & has_digit & one_sign,
-                  text.try_cast(C.PARSE_DECIMAL))
+    bare = F.regexp_replace(s, r"[\s,]", "")
+    last = F.substring(bare, -1, 1)
+    trailing = last.isin("+", "-")
+    signed = F.when(trailing, F.concat(last, F.substring(bare, F.lit(1), F.length(bare) - 1)))
+    return F.when(s.rlike(DECIMAL_GATE),
+                  F.coalesce(signed, bare).try_cast(C.PARSE_DECIMAL))
 
 
 def to_stored_amount(a: Column) -> Column:

@@ -23,7 +23,8 @@ DATE_COL = "txn_date"
 AMOUNT_COL = "txn_amount"
 ERRORS_COL = "errors"
 
-ERROR_TYPE = "array<struct<field:string,code:string,message:string>>"
+ERROR_STRUCT = "struct<field:string,code:string,message:string>"
+ERROR_TYPE = f"array<{ERROR_STRUCT}>"
 
 
 @dataclass(frozen=True)
@@ -126,7 +127,10 @@ def errors_expr(rules: tuple[Rule, ...], as_of: Column) -> Column:
                       F.struct(F.lit(r.field).alias("field"), F.lit(r.code).alias("code"),
                                F.lit(r.message).alias("message")))
                for r in rules]
-    return F.array_compact(F.array(*entries))
+    # array_except (codegen) rather than array_compact (a lambda filter that
+    # drops the whole projection out of whole-stage codegen); codes are
+    # distinct, so removing duplicates changes nothing.
+    return F.array_except(F.array(*entries), F.array(F.lit(None).cast(ERROR_STRUCT)))
 
 
 def validate_text_rows(df: DataFrame, as_of: str | None = None) -> DataFrame:

@@ -14,8 +14,7 @@ from . import ingest
 from .oracle import classified_sql, validated_sql
 from .registry import register
 
-AS_OF = "2002-01-01 00:00:00"          # ingest clock for the orders-derived batch
-EVENTS_AS_OF = "2024-02-01 00:00:00"   # ingest clock for the events-derived batch
+from .params import AS_OF, EVENTS_AS_OF
 
 V = (("validated", validated_sql("raw_transactions", AS_OF)),)
 CL = V + (("classified", classified_sql("validated")),)

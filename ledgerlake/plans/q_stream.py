@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..session import scratch_path
 from ..sources import store, tables
 from ..streaming.ingest_stream import ingest_stream
-from .q_ingest import AS_OF
+from .params import AS_OF
 from .fixtures import FULL_LAYOUTS, write_csv_splits, write_json_splits
 from .oracle import classified_sql, validated_json_sql, validated_sql
 
