@@ -17,6 +17,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -158,6 +159,12 @@ def ingest_counters(classified: DataFrame) -> DataFrame:
     )
 
 
+def outcome_code(status: Column) -> Column:
+    """The single-record outcome class: stored 200, conflict 409, unprocessable 422."""
+    return (F.when(status == C.STATUS_ACCEPTED, F.lit(200))
+            .when(status == C.STATUS_DUPLICATE, F.lit(409)).otherwise(F.lit(422)))
+
+
 def errors_by_field(classified: DataFrame) -> DataFrame:
     """Rule failures counted per field and code (exploded, then aggregated)."""
     e = classified.select(F.explode(ERRORS_COL).alias("e"))
@@ -188,12 +195,19 @@ def run_ingest(batch: DataFrame, root: str, label: str, as_of: str | None = None
         # one clock for the whole batch, also when a stage is recomputed
         as_of = spark.range(1).select(F.current_timestamp().cast("timestamp_ntz")
                                       .cast("string")).first()[0]
-    result = (ingest_typed_batch if typed else ingest_text_batch)(batch, tx, cu, as_of)
-
-    # Cut the lineage: the classification is written once to shared storage,
-    # and every output below is read from that table.
-    staged = scratch_path(spark, "classified")
-    result.classified.write.parquet(staged)
+    # The batch is used by several branches of the plan (invalid rows, the id
+    # aggregate, the join back); keep it once instead of re-reading the input.
+    # Recomputing a lost block only re-reads the input files.
+    source = spread_for_cpu(batch).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        validate = validate_typed_rows if typed else validate_text_rows
+        result = classify_batch(validate(source, as_of), tx, cu, as_of)
+        # Cut the lineage: the classification is written once to shared
+        # storage, and every output below is read from that table.
+        staged = scratch_path(spark, "classified")
+        result.classified.write.parquet(staged)
+    finally:
+        source.unpersist()
     classified = spark.read.parquet(staged)
     done = IngestResult(classified, as_of_literal(as_of))
 

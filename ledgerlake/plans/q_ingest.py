@@ -33,7 +33,7 @@ def events_batch(spark, sf):
 
 
 def validated(spark, sf):
-    return validate_text_rows(raw_batch(spark, sf), AS_OF)
+    return validate_text_rows(ingest.spread_for_cpu(raw_batch(spark, sf)), AS_OF)
 
 
 def classified(spark, sf):
@@ -271,3 +271,36 @@ FROM classified WHERE status = 'accepted'""", CL)
 def q_surrogate_keys(spark, sf):
     acc = ingest.accepted_transactions(classified(spark, sf).classified, AS_OF)
     return acc.select("external_transaction_id", "id")
+
+
+@register("append_single", """
+SELECT row_number, transactionId, status,
+       CASE status WHEN 'accepted' THEN 200 WHEN 'duplicate' THEN 409 ELSE 422 END AS outcome
+FROM classified""", CL)
+def q_append_single(spark, sf):
+    # S7 set-wise: every record gets the single-append outcome of the original
+    # (stored / conflict / unprocessable) from one classification pass
+    c = classified(spark, sf).classified
+    return c.select("row_number", "transactionId", "status",
+                    ingest.outcome_code(F.col("status")).alias("outcome"))
+
+
+@register("bulk_append_idempotent", """
+SELECT md5(transactionId) AS id, c.id AS customer_id, transactionId AS external_transaction_id,
+       txn_date AS transaction_date, CAST(txn_amount AS DECIMAL(18,4)) AS amount, currency,
+       sourceChannel AS source_channel, TIMESTAMP '2002-01-01 00:00:00' AS created_at
+FROM classified k JOIN customers c ON c.external_id = k.customerId
+WHERE status = 'accepted'""", CL)
+def q_bulk_append_idempotent(spark, sf):
+    # The batch is appended, replayed under the same label, then offered
+    # again under a new label; the store must hold each accepted row once
+    from ..session import scratch_path
+    from ..sources import store
+    root = scratch_path(spark, "bulk-store")
+    kw = dict(as_of=AS_OF, base_transactions=tables.stored_transactions(spark, sf),
+              base_customers=tables.customers(spark, sf))
+    raw = raw_batch(spark, sf)
+    ingest.run_ingest(raw, root, "b1", **kw)
+    ingest.run_ingest(raw, root, "b1", **kw)
+    ingest.run_ingest(raw, root, "b2", **kw)
+    return store.read_transactions(spark, root)
