@@ -53,20 +53,27 @@ def resolve_keys(rows: DataFrame, resolved: DataFrame, col: str = CUST) -> DataF
     return rows.join(keys, col, "left")
 
 
-def resolve_or_assign(rows: DataFrame, customers: DataFrame, col: str = CUST) -> DataFrame:
+def resolve_or_assign(rows: DataFrame, customers: DataFrame, col: str = CUST,
+                      key_when: Column | None = None) -> DataFrame:
     """J6 + S10 in one left join: ``customer_id`` of a stored customer, else the
     new deterministic id; ``customer_is_new`` marks the second case.
 
     The join is on the external id; Catalyst/AQE broadcast the customers side
     only when its measured size is under the threshold, else both sides are
     hash-partitioned (a hot customer is split by AQE skew handling).
+    Rows where ``key_when`` is false are not looked up (their key is null and
+    their ``customer_id`` stays null).
     """
-    known = customers.select(F.col("external_id").alias(col), F.col("id").alias("_known_id"))
-    joined = rows.join(known, col, "left")
-    is_new = F.col("_known_id").isNull() & F.col(col).isNotNull()
+    known = customers.select(F.col("external_id").alias("_ext"), F.col("id").alias("_known_id"))
+    lookup = F.col(col) if key_when is None else F.when(key_when, F.col(col))
+    keyed = rows.withColumn("_lookup", lookup)
+    joined = keyed.join(known, keyed["_lookup"] == known["_ext"], "left")
+    has_key = F.col("_lookup").isNotNull()
+    is_new = F.col("_known_id").isNull() & has_key
+    new_id = F.when(has_key, surrogate_id(F.col("_lookup")))
     return (joined.withColumn("customer_is_new", is_new)
-            .withColumn("customer_id", F.coalesce(F.col("_known_id"), surrogate_id(F.col(col))))
-            .drop("_known_id"))
+            .withColumn("customer_id", F.coalesce(F.col("_known_id"), new_id))
+            .drop("_known_id", "_ext", "_lookup"))
 
 
 def created_customers(classified: DataFrame, now: Column, col: str = CUST) -> DataFrame:

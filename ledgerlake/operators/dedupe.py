@@ -57,6 +57,8 @@ def first_occurrence(candidates: DataFrame, store: DataFrame | None,
     row is accepted iff the owner is its own key. The key is a ``bigint`` so
     the aggregate stays a hash aggregate with a map-side partial step.
     """
+    # rows whose order key is null (e.g. invalid rows) take part in no
+    # ownership: min() ignores them
     mine = candidates.select(id_col, F.col(order_col).cast("bigint").alias("_key"))
     parts = mine
     if store is not None:

@@ -26,7 +26,7 @@ from ..functions.parsing import to_stored_amount
 from ..functions.rules import (AMOUNT_COL, DATE_COL, ERRORS_COL, ERROR_TYPE, as_of_literal,
                                is_valid, validate_text_rows, validate_typed_rows)
 from ..operators import customers as cust
-from ..operators.dedupe import ORDER_KEY, mark_duplicates
+from ..operators.dedupe import ORDER_KEY, first_occurrence
 
 
 @dataclass
@@ -64,35 +64,41 @@ def classify_batch(validated: DataFrame, store: DataFrame | None, customers: Dat
     Input rows carry ``row_key``, a bigint giving ingest order (file order,
     then row number); the first valid row of an id in that order wins.
 
-    Plan shape: invalid rows bypass every shuffle. Valid rows go through one
-    aggregate (owner per id, with the store hits folded in) and one left
-    join to the customers table on the external id. A customer that is not
-    found gets its deterministic new id inline, so the set of created
-    customers is a projection of the same frame, not another join.
+    Plan shape: no filter on the rule outcome sits below a shuffle (Catalyst
+    would push it through the projection and evaluate every rule twice).
+    Instead, only valid rows contribute a key to the owner aggregate (one
+    hash aggregate per id, store hits folded in as key -1), every row is
+    joined back to its id's owner, and the customer lookup is keyed only for
+    accepted rows. A blank or repeated id that fills much of a batch is
+    folded map-side by the partial aggregate, and its join-back partition is
+    split by AQE skew handling.
     """
     clock = as_of_literal(as_of)
     empty_errors = F.array().cast(ERROR_TYPE)
-
-    invalid = (validated.filter(~is_valid())
-               .withColumn("customer_id", F.lit(None).cast("string"))
-               .withColumn("status", F.lit(C.STATUS_INVALID)))
-
-    # Only valid rows take part in duplicate detection: invalid rows never
-    # claim an id and are not shuffled at all.
-    marked = mark_duplicates(validated.filter(is_valid()), store, ORDER_KEY)
-    keyed = cust.resolve_or_assign(marked, customers)
-    first = F.col("dup_code").isNull()
+    valid = is_valid()
+    candidates = validated.withColumn("_cand", F.when(valid, F.col(ORDER_KEY)))
+    owners = first_occurrence(candidates, store, "_cand")
+    joined = validated.join(owners, "transactionId", "left")
+    owner = F.col("_owner")
+    dup_code = (F.when(owner == -1, F.lit(C.ERR_DUP_STORED))
+                .when(owner != F.col(ORDER_KEY), F.lit(C.ERR_DUP_BATCH)))
+    staged = (joined
+              .withColumn("_valid", valid)
+              .withColumn("dup_code", F.when(F.col("_valid"), dup_code))
+              .withColumn("_first", F.col("_valid") & F.col("dup_code").isNull())
+              .drop("_owner"))
+    keyed = cust.resolve_or_assign(staged, customers, key_when=F.col("_first"))
     resolved = F.col("customer_id").isNotNull()
-    keyed = (keyed
-             .withColumn("status", F.when(~first, F.lit(C.STATUS_DUPLICATE))
-                         .when(resolved, F.lit(C.STATUS_ACCEPTED))
-                         .otherwise(F.lit(C.STATUS_UNRESOLVED)))
-             .withColumn(ERRORS_COL, F.when(~first, F.array(_dup_error(F.col("dup_code"))))
-                         .when(resolved, empty_errors)
-                         .otherwise(F.array(cust.unresolved_error())))
-             .withColumn("customer_id", F.when(first, F.col("customer_id"))))
-
-    classified = invalid.unionByName(keyed, allowMissingColumns=True)
+    status = (F.when(~F.col("_valid"), F.lit(C.STATUS_INVALID))
+              .when(~F.col("_first"), F.lit(C.STATUS_DUPLICATE))
+              .when(resolved, F.lit(C.STATUS_ACCEPTED))
+              .otherwise(F.lit(C.STATUS_UNRESOLVED)))
+    errors = (F.when(~F.col("_valid"), F.col(ERRORS_COL))
+              .when(~F.col("_first"), F.array(_dup_error(F.col("dup_code"))))
+              .when(resolved, empty_errors)
+              .otherwise(F.array(cust.unresolved_error())))
+    classified = (keyed.withColumn("status", status).withColumn(ERRORS_COL, errors)
+                  .drop("_valid", "_first", "dup_code"))
     return IngestResult(classified, clock)
 
 
