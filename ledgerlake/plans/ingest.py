@@ -109,7 +109,9 @@ def spread_for_cpu(df: DataFrame) -> DataFrame:
     there are cores; then it is spread round-robin once, and every later use
     of the batch in the plan reads that one shuffle (exchange reuse) instead
     of re-reading and re-parsing the input. Batches that already have enough
-    partitions (any large input) are left alone. Planning only: no job runs.
+    partitions (any large input) are left alone. The partition count comes
+    from the physical plan; for a plain scan that is planning only (for a
+    persisted batch, it is the cache's own first pass).
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() < cores:
@@ -204,10 +206,10 @@ def run_ingest(batch: DataFrame, root: str, label: str, as_of: str | None = None
     # The batch is used by several branches of the plan (invalid rows, the id
     # aggregate, the join back); keep it once instead of re-reading the input.
     # Recomputing a lost block only re-reads the input files.
-    source = spread_for_cpu(batch).persist(StorageLevel.MEMORY_AND_DISK)
+    source = batch.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         validate = validate_typed_rows if typed else validate_text_rows
-        result = classify_batch(validate(source, as_of), tx, cu, as_of)
+        result = classify_batch(validate(spread_for_cpu(source), as_of), tx, cu, as_of)
         # Cut the lineage: the classification is written once to shared
         # storage, and every output below is read from that table.
         staged = scratch_path(spark, "classified")

@@ -18,6 +18,7 @@ a fixed schema cannot do.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,8 +31,10 @@ from ..sources import files
 BINARY_FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
 
 
-def batch_label(batch_id: int) -> str:
-    return f"s{batch_id:012d}"
+def batch_label(stream: str, batch_id: int) -> str:
+    """Store partition of one micro-batch: stable across restarts of the same
+    query (same checkpoint), distinct between queries that share a store."""
+    return f"s{stream}-{batch_id:012d}"
 
 
 def ingest_stream(spark: SparkSession, input_dir: str, root: str, checkpoint: str,
@@ -53,6 +56,8 @@ def ingest_stream(spark: SparkSession, input_dir: str, root: str, checkpoint: st
              .option("maxFilesPerTrigger", files_per_trigger).load(input_dir)
              .select("path", "length"))
 
+    stream = hashlib.md5(checkpoint.rstrip("/").encode()).hexdigest()[:12]
+
     def per_batch(batch: DataFrame, batch_id: int) -> None:
         # the file list of one micro-batch: bounded by maxFilesPerTrigger
         names = [r.path for r in batch.filter(F.col("length") > 0).select("path").collect()]
@@ -60,7 +65,7 @@ def ingest_stream(spark: SparkSession, input_dir: str, root: str, checkpoint: st
             return
         reader: Callable = files.read_csv_by_header if fmt == "csv" else files.read_json_records
         rows = reader(spark, names)
-        run_ingest(rows, root, batch_label(batch_id), as_of=as_of, typed=(fmt == "json"),
+        run_ingest(rows, root, batch_label(stream, batch_id), as_of=as_of, typed=(fmt == "json"),
                    base_transactions=base_transactions, base_customers=base_customers)
 
     q = (paths.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint)
