@@ -45,15 +45,20 @@ def is_blank(c: Column) -> Column:
 
 
 def _iso_timestamp(s: Column) -> Column:
-    """ISO branch: one regex gate, then Spark's own timestamp cast.
+    """ISO branch: one regex gate, then Spark's own timestamp casts.
 
-    The gate keeps out what the cast would over-accept ('2024', '12:30');
-    the cast applies a Z / offset and yields an instant, which is turned
-    into UTC wall-clock ``timestamp_ntz`` independently of the session zone.
+    The gate keeps out what the casts would over-accept ('2024', '12:30').
+    Text without an offset is UTC wall-clock already and is cast straight to
+    ``timestamp_ntz``; text with Z or an offset is cast to an instant, which is
+    turned into UTC wall-clock. Neither depends on the session time zone.
     """
-    instant = F.upper(s).try_cast("timestamp")
-    wall = F.convert_timezone(F.current_timezone(), F.lit("UTC"), instant.cast("timestamp_ntz"))
-    return F.when(s.rlike(ISO_DATETIME), wall)
+    text = F.upper(s)
+    has_offset = F.regexp_extract(s, ISO_DATETIME, 3) != ""
+    instant = text.try_cast("timestamp")
+    shifted = F.convert_timezone(F.current_timezone(), F.lit("UTC"),
+                                 instant.cast("timestamp_ntz"))
+    return F.when(s.rlike(ISO_DATETIME),
+                  F.when(has_offset, shifted).otherwise(text.try_cast("timestamp_ntz")))
 
 
 def _us_timestamp(s: Column) -> Column:
@@ -72,6 +77,12 @@ def _rfc1123_timestamp(s: Column) -> Column:
         g[5].cast("decimal(16,6)")))
 
 
+def utc_now() -> Column:
+    """The current instant as UTC wall-clock ``timestamp_ntz`` (any session zone)."""
+    return F.convert_timezone(F.current_timezone(), F.lit("UTC"),
+                              F.current_timestamp().cast("timestamp_ntz"))
+
+
 def parse_timestamp(s: Column) -> Column:
     """Text -> timestamp_ntz (UTC), or null when outside the grammar."""
     return F.coalesce(_iso_timestamp(s), _us_timestamp(s), _rfc1123_timestamp(s))

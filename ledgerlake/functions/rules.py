@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import config as C
-from .parsing import is_blank, parse_amount, parse_timestamp
+from .parsing import is_blank, parse_amount, parse_timestamp, utc_now
 
 # Parsed helper columns added next to the input fields.
 DATE_COL = "txn_date"
@@ -117,7 +117,7 @@ JSON_RULES: tuple[Rule, ...] = tuple(_CUSTOMER + [
 def as_of_literal(as_of: str | None) -> Column:
     """The validation clock, fixed for the whole query (one value per run)."""
     if as_of is None:
-        return F.current_timestamp().cast("timestamp_ntz")
+        return utc_now()
     return F.lit(as_of).cast("timestamp_ntz")
 
 

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config as C
-from ..functions.parsing import page_count
+from ..functions.parsing import page_count, utc_now
 
 
 class CustomerNotFound(LookupError):
@@ -56,7 +56,7 @@ def _optional(text: str | None) -> str | None:
 
 
 def _ts(text: str | None) -> Column:
-    return F.current_timestamp().cast("timestamp_ntz") if text is None \
+    return utc_now() if text is None \
         else F.lit(text).cast("timestamp_ntz")
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import config as C
-from ..functions.parsing import to_stored_amount
+from ..functions.parsing import to_stored_amount, utc_now
 from ..functions.rules import (AMOUNT_COL, DATE_COL, ERRORS_COL, ERROR_TYPE, as_of_literal,
                                is_valid, validate_text_rows, validate_typed_rows)
 from ..operators import customers as cust
@@ -201,8 +201,7 @@ def run_ingest(batch: DataFrame, root: str, label: str, as_of: str | None = None
         cu = base_customers.select(*cu.columns).unionByName(cu)
     if as_of is None:
         # one clock for the whole batch, also when a stage is recomputed
-        as_of = spark.range(1).select(F.current_timestamp().cast("timestamp_ntz")
-                                      .cast("string")).first()[0]
+        as_of = spark.range(1).select(utc_now().cast("string")).first()[0]
     # The batch is used by several branches of the plan (invalid rows, the id
     # aggregate, the join back); keep it once instead of re-reading the input.
     # Recomputing a lost block only re-reads the input files.

@@ -115,3 +115,18 @@ def test_page_count(spark):
     df = spark.createDataFrame([(0, 20), (1, 20), (20, 20), (21, 20), (5, 0)], "n long, s int")
     got = [r[0] for r in df.select(parsing.page_count(F.col("n"), F.col("s"))).collect()]
     assert got == [0, 1, 1, 2, 0]
+
+
+@pytest.mark.parametrize("zone", ["America/New_York", "Asia/Kolkata"])
+def test_parsing_ignores_session_zone(spark, zone):
+    texts = ["2024-07-01 12:00", "2024-01-15T10:00:00+05:30", "01/15/2024 10:00",
+             "Mon, 15 Jan 2024 10:00:00 GMT"]
+    df = spark.createDataFrame([(t,) for t in texts], "s string")
+    expr = parsing.parse_timestamp(F.col("s"))
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        got = [r[0] for r in df.select(expr).collect()]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert got == [dt.datetime(2024, 7, 1, 12), dt.datetime(2024, 1, 15, 4, 30),
+                   dt.datetime(2024, 1, 15, 10), dt.datetime(2024, 1, 15, 10)]
