@@ -46,7 +46,11 @@ def _numbered(df: DataFrame) -> DataFrame:
 
 
 def _file_ordinals(files: DataFrame) -> DataFrame:
-    """Ordinal of each file path in name order (one row per file)."""
+    """Ordinal of each file path in name order.
+
+    The input has one row per file (or per file block), so this single
+    ordered window sorts the file list, not the data.
+    """
     return files.withColumn("_file_no", F.dense_rank().over(Window.orderBy("source_file")) - 1)
 
 
@@ -56,26 +60,47 @@ def read_csv_by_header(spark: SparkSession, path: str | list[str],
     """All-string rows with ``source_file``, ``row_number`` (data rows from
     1, the header not counted) and ``row_key`` (file order, then row).
 
-    ``multi_line`` keeps quoted line breaks inside one record (each file is
-    then read by one task); turn it off for large files without them.
+    Every record is read as a positional array, and the would-be position of
+    each wanted field in it is computed (meaningful only for a header). One
+    hash aggregate over (file, block) keeps the record count, the first id
+    and, via ``min_by``, the positions seen in the block's first record; a
+    window over the blocks of a file (one row per block) turns the counts
+    into offsets and hands the first block's positions (the header's) to all
+    blocks. Data rows then need one join with that one-row-per-block table:
+    two passes over the input, no sort of the data. ``multi_line`` keeps
+    quoted line breaks inside one record (each file is then read by one
+    task); turn it off for large files without them.
     """
     schema = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(width)])
     raw = (spark.read.schema(schema).option("header", False).option("multiLine", multi_line)
            .option("escape", '"').option("mode", "PERMISSIVE").csv(path))
-    rows = _numbered(raw)
     cells = F.array(*[F.col(f"_c{i}") for i in range(width)])
-    headers = rows.filter(F.col("row_in_file") == 1).select(
-        "source_file", *[F.array_position(cells, f).cast("int").alias(f"_pos_{f}")
-                         for f in fields])
-    headers = _file_ordinals(headers)
-    data = rows.filter(F.col("row_in_file") > 1).join(headers, "source_file")
+    tagged = raw.select(cells.alias("_cells"),
+                        F.col("_metadata.file_path").alias("source_file"),
+                        F.col("_metadata.file_block_start").alias("_block"),
+                        F.monotonically_increasing_id().alias("_mid"))
+    positions = tagged.select("source_file", "_block", "_mid",
+                              *[F.array_position("_cells", f).cast("int").alias(f"_p_{f}")
+                                for f in fields])
+    blocks = (positions.groupBy("source_file", "_block")
+              .agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_first"),
+                   *[F.min_by(f"_p_{f}", "_mid").alias(f"_h_{f}") for f in fields]))
+    per_file = Window.partitionBy("source_file").orderBy("_block")
+    before = per_file.rowsBetween(Window.unboundedPreceding, -1)
+    info = _file_ordinals(blocks.select(
+        "source_file", "_block", "_first",
+        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"),
+        *[F.first(f"_h_{f}").over(per_file).alias(f"_pos_{f}") for f in fields]))
+    rows = (tagged.join(info, ["source_file", "_block"])
+            .withColumn("row_in_file", F.col("_offset") + F.col("_mid") - F.col("_first") + 1)
+            .filter(F.col("row_in_file") > 1))
     picked = [F.coalesce(F.when(F.col(f"_pos_{f}") > 0,
-                                F.element_at(cells, F.col(f"_pos_{f}"))), F.lit("")).alias(f)
+                                F.element_at("_cells", F.col(f"_pos_{f}"))), F.lit("")).alias(f)
               for f in fields]
     row_number = (F.col("row_in_file") - 1).alias("row_number")
     row_key = (F.shiftleft(F.col("_file_no").cast("bigint"), ROW_BITS)
                + F.col("row_in_file") - 1).alias("row_key")
-    return data.select("source_file", row_number, row_key, *picked)
+    return rows.select("source_file", row_number, row_key, *picked)
 
 
 JSON_SCHEMA = T.StructType([
