@@ -30,17 +30,20 @@ ROW_BITS = 40           # row_key = file ordinal << 40 | row number
 
 
 def _numbered(df: DataFrame) -> DataFrame:
-    """Adds ``source_file`` and ``row_in_file`` (1-based record number)."""
+    """Adds ``source_file``, ``row_in_file`` (1-based record number) and
+    ``_file_no`` (ordinal of the file in name order) with one aggregate over
+    (file, block) and one join with its one-row-per-block result."""
     tagged = df.select("*", F.col("_metadata.file_path").alias("source_file"),
                        F.col("_metadata.file_block_start").alias("_block"),
                        F.monotonically_increasing_id().alias("_mid"))
     blocks = (tagged.groupBy("source_file", "_block")
               .agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_first")))
-    per_file = Window.partitionBy("source_file").orderBy("_block") \
+    before = Window.partitionBy("source_file").orderBy("_block") \
         .rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.withColumn("_offset", F.coalesce(F.sum("_n").over(per_file), F.lit(0)))
-    return (tagged.join(blocks.select("source_file", "_block", "_offset", "_first"),
-                        ["source_file", "_block"])
+    info = _file_ordinals(blocks.select(
+        "source_file", "_block", "_first",
+        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset")))
+    return (tagged.join(info, ["source_file", "_block"])
             .withColumn("row_in_file", F.col("_offset") + F.col("_mid") - F.col("_first") + 1)
             .drop("_block", "_mid", "_offset", "_first"))
 
@@ -127,8 +130,6 @@ def read_json_records(spark: SparkSession, path: str | list[str]) -> DataFrame:
     df = (spark.read.schema(JSON_SCHEMA).option("mode", "PERMISSIVE")
           .option("columnNameOfCorruptRecord", "_corrupt_record").json(path))
     rows = _numbered(df)
-    files = _file_ordinals(rows.select("source_file").distinct())
-    rows = rows.join(files, "source_file")
     date = _iso_timestamp(F.col("transactionDate"))
     bad_date = F.col("transactionDate").isNotNull() & date.isNull()
     return rows.select(
