@@ -58,6 +58,6 @@ def q_admit_files(spark, sf):
 @register("unnest_parallel_arrays", "SELECT * FROM customers")
 def q_unnest_parallel_arrays(spark, sf):
     from ..sources.inline import chunked_parallel_arrays, unnest_parallel_arrays
-    chunks = chunked_parallel_arrays(tables.customers(spark, sf), "id",
+    chunks = chunked_parallel_arrays(tables.customers(spark, sf),
                                      ("id", "external_id", "created_at"))
     return unnest_parallel_arrays(chunks, ("id", "external_id", "created_at"))

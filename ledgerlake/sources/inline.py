@@ -5,8 +5,7 @@ turns them back into rows with ``UNNEST``. ``unnest_parallel_arrays`` is
 that operation on a DataFrame of array columns (``arrays_zip`` + ``inline``,
 a generator that runs inside the task). ``chunked_parallel_arrays`` builds
 such arrays from rows in chunks of a bounded number of rows (the original's
-500-row chunks), grouping on the row's key divided by the chunk size, so no
-array grows with the table.
+500-row chunks), so no array grows with the table.
 """
 
 from __future__ import annotations
@@ -17,14 +16,16 @@ from pyspark.sql import functions as F
 from .. import config as C
 
 
-def chunked_parallel_arrays(df: DataFrame, key: str, cols: tuple[str, ...],
+def chunked_parallel_arrays(df: DataFrame, cols: tuple[str, ...],
                             chunk_rows: int = C.DEFAULT_CHUNK_ROWS) -> DataFrame:
     """One row per chunk of at most ``chunk_rows`` rows, one array per column.
 
-    ``key`` must be unique and castable to a number (dense keys give full
-    chunks); the arrays are aligned because they come from one list of structs.
+    A chunk is a run of consecutive rows of one partition
+    (``monotonically_increasing_id`` div ``chunk_rows``), so its size bound
+    holds whatever the data; the arrays are aligned because they come from
+    one list of structs.
     """
-    chunk = F.floor(F.col(key).cast("decimal(38,0)") / chunk_rows).alias("chunk")
+    chunk = F.floor(F.monotonically_increasing_id() / chunk_rows).alias("chunk")
     rows = df.groupBy(chunk).agg(F.collect_list(F.struct(*cols)).alias("_rows"))
     return rows.select("chunk", *[F.transform("_rows", _field(c)).alias(c) for c in cols])
 

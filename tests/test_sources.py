@@ -78,9 +78,11 @@ def test_admit_files(spark, tmp_dir):
 
 
 def test_unnest_parallel_arrays(spark):
-    df = spark.range(1234).selectExpr("id", "concat('C', id) AS ext")
-    chunks = chunked_parallel_arrays(df, "id", ("id", "ext"), chunk_rows=500)
+    df = spark.range(1234).selectExpr("id", "concat('C', id) AS ext").coalesce(1)
+    chunks = chunked_parallel_arrays(df, ("id", "ext"), chunk_rows=500)
     assert chunks.count() == 3
     assert max(len(r.id) for r in chunks.collect()) == 500
+    spread = chunked_parallel_arrays(df.repartition(4), ("id", "ext"), chunk_rows=100)
+    assert max(len(r.id) for r in spread.collect()) <= 100
     back = unnest_parallel_arrays(chunks, ("id", "ext"))
     assert sorted(tuple(r) for r in back.collect()) == sorted(tuple(r) for r in df.collect())
