@@ -100,6 +100,11 @@ def filter_transactions(tx: DataFrame, customer_id: str | None, window: DateRang
     if window is not None:
         out = out.filter((F.col("transaction_date") >= window.lower)
                          & (F.col("transaction_date") <= window.upper))
+        if "txn_month" in tx.columns:
+            # the store's month partitions: Parquet cannot derive this bound
+            # from the date predicate, so it is stated for partition pruning
+            out = out.filter(F.col("txn_month").between(F.date_format(window.lower, "yyyy-MM"),
+                                                        F.date_format(window.upper, "yyyy-MM")))
     if _optional(currency) is not None:
         out = out.filter(F.col("currency") == currency)
     if _optional(channel) is not None:

@@ -103,3 +103,26 @@ def test_grouping_sets_match_separate_aggregates(spark):
     assert gs.filter("grain = 'currency'").count() == 2
     assert gs.filter("grain = 'customer_channel'").count() == 3
     assert stats.stats_grouping_sets(tx, cu, False).filter("customer IS NOT NULL").count() == 0
+
+
+def test_store_page_prunes_month_partitions(spark, capsys):
+    from ledgerlake.plans.ingest import run_ingest
+    from ledgerlake.session import scratch_path
+    rows = [(i + 1, i + 1, "f.csv", "CUST-1", f"T{i}", f"2024-0{1 + i % 5}-10T10:00:00Z", "5",
+             "USD", "web") for i in range(50)]
+    cols = ("row_number long, row_key long, source_file string, customerId string, "
+            "transactionId string, transactionDate string, amount string, currency string, "
+            "sourceChannel string")
+    root = scratch_path(spark, "page-store")
+    run_ingest(spark.createDataFrame(rows, cols), root, "b1", "2024-06-01 00:00:00")
+    tx = store.read_transactions(spark, root, with_partitions=True)
+    cu = store.read_customers(spark, root)
+    req = paging.PageRequest("CUST-1", 1, 100, "2024-02-01", "2024-03-31")
+    page = paging.customer_page(tx, cu, req)
+    assert page.info.first().total_count == 20
+    capsys.readouterr()
+    page.items.explain(mode="formatted")
+    scan = capsys.readouterr().out
+    assert "PartitionFilters: [isnotnull(txn_month" in scan
+    pushed = scan.split("PushedFilters: [", 1)[1].split("]", 1)[0]
+    assert "EqualTo(customer_id," in pushed and "GreaterThanOrEqual(transaction_date," in pushed
