@@ -44,6 +44,12 @@ def is_blank(c: Column) -> Column:
     return F.coalesce(c.rlike(BLANK), F.lit(True))
 
 
+def utf16_length(c: Column) -> Column:
+    """String length in UTF-16 code units, as the original's limits count
+    it (a character outside the Basic Multilingual Plane counts twice)."""
+    return (F.octet_length(F.encode(c, "UTF-16BE")) / 2).cast("int")
+
+
 def _iso_timestamp(s: Column) -> Column:
     """ISO branch: one regex gate, then Spark's own timestamp casts.
 

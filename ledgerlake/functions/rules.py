@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import config as C
-from .parsing import is_blank, parse_amount, parse_timestamp, utc_now
+from .parsing import is_blank, parse_amount, parse_timestamp, utc_now, utf16_length
 
 # Parsed helper columns added next to the input fields.
 DATE_COL = "txn_date"
@@ -41,7 +41,7 @@ def _no(c: Column) -> Column:
 
 
 def _len_over(name: str, n: int) -> Callable:
-    return lambda col, as_of: F.coalesce(F.length(col(name)) > n, F.lit(False))
+    return lambda col, as_of: F.coalesce(utf16_length(col(name)) > n, F.lit(False))
 
 
 def _oldest(as_of: Column) -> Column:
@@ -65,7 +65,7 @@ _CURRENCY_CHANNEL = [
     Rule("currency", C.ERR_CUR_EMPTY, "Currency must not be empty.",
          lambda col, as_of: is_blank(col("currency"))),
     Rule("currency", C.ERR_CUR_LEN, f"Currency must be exactly {C.CURRENCY_LEN} characters.",
-         lambda col, as_of: F.coalesce(F.length(col("currency")) != C.CURRENCY_LEN,
+         lambda col, as_of: F.coalesce(utf16_length(col("currency")) != C.CURRENCY_LEN,
                                        F.lit(False))),
     Rule("currency", C.ERR_CUR_FMT, "Currency must be three upper-case letters.",
          lambda col, as_of: F.coalesce(~col("currency").rlike(C.CURRENCY_PATTERN),

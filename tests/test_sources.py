@@ -60,6 +60,7 @@ def test_json_records(spark, tmp_dir):
     assert rows[1].txn_amount == 1000 and rows[1]._corrupt_record is None
     assert rows[2]._corrupt_record is not None
     assert rows[3].txn_date is None
+    assert rows[3].txn_amount == 12.5      # a quoted number is read as a number
     assert rows[4]._corrupt_record is not None       # date outside the ISO grammar
 
 

@@ -44,6 +44,9 @@ def codes_json(spark, **changes):
     ({"customerId": "\t"}, "cust_empty"),
     ({"customerId": "C" * 101}, "cust_len"),
     ({"sourceChannel": "WEB"}, "chan_set"),
+    ({"customerId": "C" * 99 + "\U0001F600"}, "cust_len"),     # 101 UTF-16 units
+    ({"customerId": "C" * 98 + "\U0001F600"}, ""),             # 100 UTF-16 units
+    ({"currency": "US\U0001F600"}, "cur_len,cur_fmt"),
 ])
 def test_csv_rules(spark, change, expected):
     assert codes_csv(spark, **change) == expected
