@@ -49,6 +49,8 @@ def ingest_stream(spark: SparkSession, input_dir: str, root: str, checkpoint: st
     """
     if fmt not in ("csv", "json"):
         raise ValueError(f"unsupported format {fmt}")
+    if files_per_trigger <= 0:
+        raise ValueError("files_per_trigger must be greater than 0")
     glob = "*.csv" if fmt == "csv" else "*.json"
     paths = (spark.readStream.format("binaryFile").schema(BINARY_FILE_SCHEMA)
              .option("pathGlobFilter", glob)
