@@ -52,19 +52,23 @@ def first_occurrence(candidates: DataFrame, store: DataFrame | None,
                      order_col: str = ORDER_KEY, id_col: str = ID) -> DataFrame:
     """W3 + J2 in one aggregate: per id, who owns it.
 
-    Returns (id, ``_owner``): the smallest ingest-order key among the
+    Returns (id, ``_owner``, ``_rows``): the smallest ingest-order key among the
     batch's rows with that id, or -1 when the id is already stored. A batch
     row is accepted iff the owner is its own key. The key is a ``bigint`` so
     the aggregate stays a hash aggregate with a map-side partial step.
     """
     # rows whose order key is null (e.g. invalid rows) take part in no
     # ownership: min() ignores them
-    mine = candidates.select(id_col, F.col(order_col).cast("bigint").alias("_key"))
+    mine = candidates.select(id_col, F.col(order_col).cast("bigint").alias("_key"),
+                             F.lit(1).alias("_one"))
     parts = mine
     if store is not None:
         stored = _stored_hits(candidates, store, id_col)
-        parts = stored.select(id_col, F.lit(-1).cast("bigint").alias("_key")).unionByName(mine)
-    return parts.groupBy(id_col).agg(F.min("_key").alias("_owner"))
+        parts = stored.select(id_col, F.lit(-1).cast("bigint").alias("_key"),
+                              F.lit(0).alias("_one")).unionByName(mine)
+    # _rows (batch rows per id) lets the join back find hot ids
+    return parts.groupBy(id_col).agg(F.min("_key").alias("_owner"),
+                                     F.sum("_one").cast("bigint").alias("_rows"))
 
 
 def mark_duplicates(valid: DataFrame, store: DataFrame | None,
@@ -73,4 +77,5 @@ def mark_duplicates(valid: DataFrame, store: DataFrame | None,
     owners = first_occurrence(valid, store, order_col, id_col)
     code = (F.when(F.col("_owner") == -1, F.lit(C.ERR_DUP_STORED))
             .when(F.col("_owner") != F.col(order_col), F.lit(C.ERR_DUP_BATCH)))
-    return valid.join(owners, id_col, "inner").withColumn("dup_code", code).drop("_owner")
+    return (valid.join(owners, id_col, "inner").withColumn("dup_code", code)
+            .drop("_owner", "_rows"))

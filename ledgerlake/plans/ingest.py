@@ -27,6 +27,7 @@ from ..functions.rules import (AMOUNT_COL, DATE_COL, ERRORS_COL, ERROR_TYPE, as_
                                is_valid, validate_text_rows, validate_typed_rows)
 from ..operators import customers as cust
 from ..operators.dedupe import ORDER_KEY, first_occurrence
+from ..operators.skew import split_hot_keys_join
 
 
 @dataclass
@@ -57,6 +58,12 @@ def _dup_error(code: Column) -> Column:
                     F.lit(C.MSG_DUPLICATE).alias("message"))
 
 
+def _runtime_skew_split(spark) -> bool:
+    conf = spark.conf
+    return (conf.get("spark.sql.adaptive.enabled", "true").lower() == "true"
+            and conf.get("spark.sql.adaptive.skewJoin.enabled", "true").lower() == "true")
+
+
 def classify_batch(validated: DataFrame, store: DataFrame | None, customers: DataFrame,
                    as_of: str | None = None) -> IngestResult:
     """One status per input row (validated by ``validate_*_rows``).
@@ -70,15 +77,21 @@ def classify_batch(validated: DataFrame, store: DataFrame | None, customers: Dat
     hash aggregate per id, store hits folded in as key -1), every row is
     joined back to its id's owner, and the customer lookup is keyed only for
     accepted rows. A blank or repeated id that fills much of a batch is
-    folded map-side by the partial aggregate, and its join-back partition is
-    split by AQE skew handling.
+    folded map-side by the partial aggregate; in the join back its rows are
+    split over several tasks by AQE's skew handling, or, where that is
+    switched off, by salting the hot ids (``split_hot_keys_join``, which
+    costs extra passes over the per-id table).
     """
     clock = as_of_literal(as_of)
     empty_errors = F.array().cast(ERROR_TYPE)
     valid = is_valid()
     candidates = validated.withColumn("_cand", F.when(valid, F.col(ORDER_KEY)))
     owners = first_occurrence(candidates, store, "_cand")
-    joined = validated.join(owners, "transactionId", "left")
+    if _runtime_skew_split(validated.sparkSession):
+        # AQE splits an oversized join partition at run time; no extra passes
+        joined = validated.join(owners.drop("_rows"), "transactionId", "left")
+    else:
+        joined = split_hot_keys_join(validated, owners, "transactionId", "_rows", ORDER_KEY)
     owner = F.col("_owner")
     dup_code = (F.when(owner == -1, F.lit(C.ERR_DUP_STORED))
                 .when(owner != F.col(ORDER_KEY), F.lit(C.ERR_DUP_BATCH)))
