@@ -54,26 +54,34 @@ def resolve_keys(rows: DataFrame, resolved: DataFrame, col: str = CUST) -> DataF
 
 
 def resolve_or_assign(rows: DataFrame, customers: DataFrame, col: str = CUST,
-                      key_when: Column | None = None) -> DataFrame:
+                      key_when: Column | None = None, spread_col: str | None = None
+                      ) -> DataFrame:
     """J6 + S10 in one left join: ``customer_id`` of a stored customer, else the
     new deterministic id; ``customer_is_new`` marks the second case.
 
     The join is on the external id; Catalyst/AQE broadcast the customers side
     only when its measured size is under the threshold, else both sides are
     hash-partitioned (a hot customer is split by AQE skew handling).
-    Rows where ``key_when`` is false are not looked up (their key is null and
-    their ``customer_id`` stays null).
+
+    Rows where ``key_when`` is false are not looked up: their ``customer_id``
+    stays null. Their join key is made longer than any valid external id
+    (so it matches nothing) and unique per row via ``spread_col``, so these
+    rows spread over all tasks instead of sharing the null key's one task.
     """
     known = customers.select(F.col("external_id").alias("_ext"), F.col("id").alias("_known_id"))
-    lookup = F.col(col) if key_when is None else F.when(key_when, F.col(col))
-    keyed = rows.withColumn("_lookup", lookup)
+    if key_when is None:
+        wanted, lookup = F.col(col).isNotNull(), F.col(col)
+    else:
+        no_match = F.concat(F.lit("~" * (C.CUSTOMER_ID_MAX_LEN + 1)),
+                            F.col(spread_col).cast("string") if spread_col else F.lit(""))
+        wanted, lookup = key_when, F.when(key_when, F.col(col)).otherwise(no_match)
+    keyed = rows.withColumns({"_lookup": lookup, "_wanted": wanted})
     joined = keyed.join(known, keyed["_lookup"] == known["_ext"], "left")
-    has_key = F.col("_lookup").isNotNull()
-    is_new = F.col("_known_id").isNull() & has_key
-    new_id = F.when(has_key, surrogate_id(F.col("_lookup")))
+    is_new = F.col("_wanted") & F.col("_known_id").isNull()
+    assigned = F.coalesce(F.col("_known_id"), surrogate_id(F.col(col)))
     return (joined.withColumn("customer_is_new", is_new)
-            .withColumn("customer_id", F.coalesce(F.col("_known_id"), new_id))
-            .drop("_known_id", "_ext", "_lookup"))
+            .withColumn("customer_id", F.when(F.col("_wanted"), assigned))
+            .drop("_known_id", "_ext", "_lookup", "_wanted"))
 
 
 def created_customers(classified: DataFrame, now: Column, col: str = CUST) -> DataFrame:

@@ -100,7 +100,8 @@ def classify_batch(validated: DataFrame, store: DataFrame | None, customers: Dat
               .withColumn("dup_code", F.when(F.col("_valid"), dup_code))
               .withColumn("_first", F.col("_valid") & F.col("dup_code").isNull())
               .drop("_owner"))
-    keyed = cust.resolve_or_assign(staged, customers, key_when=F.col("_first"))
+    keyed = cust.resolve_or_assign(staged, customers, key_when=F.col("_first"),
+                                   spread_col=ORDER_KEY)
     resolved = F.col("customer_id").isNotNull()
     status = (F.when(~F.col("_valid"), F.lit(C.STATUS_INVALID))
               .when(~F.col("_first"), F.lit(C.STATUS_DUPLICATE))
