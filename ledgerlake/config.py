@@ -76,12 +76,8 @@ ERR_CUR_EMPTY = "cur_empty"
 ERR_CUR_LEN = "cur_len"
 ERR_CUR_FMT = "cur_fmt"
 ERR_CHAN_EMPTY = "chan_empty"
-ERR_CHAN_LEN = "chan_len"
 ERR_CHAN_SET = "chan_set"
 ERR_RECORD_CORRUPT = "record_corrupt"
 ERR_DUP_STORED = "dup_stored"
 ERR_DUP_BATCH = "dup_batch"
 ERR_CUST_UNRESOLVED = "cust_unresolved"
-
-# Size above which a side is never broadcast, whatever its estimate says.
-BROADCAST_MAX_BYTES = 64 * 1024 * 1024

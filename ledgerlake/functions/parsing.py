@@ -30,9 +30,6 @@ MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct",
 # Invariant-culture decimal: blanks around, one optional sign (leading or
 # trailing), digits with thousands commas before an optional point, at least
 # one digit, no exponent, no currency symbol.
-DECIMAL_TEXT = r"^\s*([+-]?)(\d[\d,]*)?(\.(\d*))?([+-]?)\s*$"
-# The same grammar as one gate: one sign at most, leading or trailing, and
-# at least one digit.
 _NUM = r"(?:\d[\d,]*(?:\.\d*)?|\.\d+)"
 DECIMAL_GATE = rf"^\s*(?:[+-]?{_NUM}|{_NUM}[+-])\s*$"
 

@@ -47,12 +47,6 @@ def get_or_create(wanted: DataFrame, customers: DataFrame, now: Column) -> tuple
     return existing.unionByName(created), created
 
 
-def resolve_keys(rows: DataFrame, resolved: DataFrame, col: str = CUST) -> DataFrame:
-    """Attach the surrogate ``customer_id``; null when it could not be resolved."""
-    keys = resolved.select(F.col("external_id").alias(col), F.col("id").alias("customer_id"))
-    return rows.join(keys, col, "left")
-
-
 def resolve_or_assign(rows: DataFrame, customers: DataFrame, col: str = CUST,
                       key_when: Column | None = None, spread_col: str | None = None
                       ) -> DataFrame:

@@ -127,6 +127,9 @@ def test_run_ingest_replay_and_reingest(spark):
     assert store.read_customers(spark, root).count() == 2
     total = store.running_counters(spark, root).first()
     assert (total["total_rows"], total["batches"]) == (6, 2)
+    rejects = store.read_rejects(spark, root)
+    assert sorted((r.ingest_batch, r.status) for r in rejects.collect()) == [
+        ("b1", "invalid"), ("b2", "duplicate"), ("b2", "duplicate"), ("b2", "invalid")]
 
 
 def test_hot_id_is_split_across_tasks(spark):
