@@ -119,13 +119,12 @@ def classify_batch(validated: DataFrame, store: DataFrame | None, customers: Dat
 def spread_for_cpu(df: DataFrame) -> DataFrame:
     """Give CPU-heavy row work (parsing, rules) at least one task per core.
 
-    A batch read from few large row groups arrives in fewer partitions than
-    there are cores; then it is spread round-robin once, and every later use
-    of the batch in the plan reads that one shuffle (exchange reuse) instead
-    of re-reading and re-parsing the input. Batches that already have enough
-    partitions (any large input) are left alone. The partition count comes
-    from the physical plan; for a plain scan that is planning only (for a
-    persisted batch, it is the cache's own first pass).
+    A batch read from few large row groups (or one multi-line CSV) arrives
+    in fewer partitions than there are cores; it is then spread round-robin
+    before validation, so the rules run on every core. Batches that already
+    have enough partitions (any large input) are left alone. The partition
+    count comes from the physical plan; for a plain scan that is planning
+    only (for a persisted batch, it is the cache's own first pass).
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() < cores:
