@@ -84,16 +84,19 @@ def read_csv_by_header(spark: SparkSession, path: str | list[str],
                         F.monotonically_increasing_id().alias("_mid"))
     positions = tagged.select("source_file", "_block", "_mid",
                               *[F.array_position("_cells", f).cast("int").alias(f"_p_{f}")
-                                for f in fields])
+                                for f in fields],
+                              F.element_at("_cells", width).isNotNull().alias("_p_full"))
     blocks = (positions.groupBy("source_file", "_block")
               .agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_first"),
-                   *[F.min_by(f"_p_{f}", "_mid").alias(f"_h_{f}") for f in fields]))
+                   *[F.min_by(f"_p_{f}", "_mid").alias(f"_h_{f}") for f in fields],
+                   F.min_by("_p_full", "_mid").alias("_h_full")))
     per_file = Window.partitionBy("source_file").orderBy("_block")
     before = per_file.rowsBetween(Window.unboundedPreceding, -1)
     info = _file_ordinals(blocks.select(
         "source_file", "_block", "_first",
         F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"),
-        *[F.first(f"_h_{f}").over(per_file).alias(f"_pos_{f}") for f in fields]))
+        *[F.first(f"_h_{f}").over(per_file).alias(f"_pos_{f}") for f in fields],
+        F.first("_h_full").over(per_file).alias("_full")))
     rows = (tagged.join(info, ["source_file", "_block"])
             .withColumn("row_in_file", F.col("_offset") + F.col("_mid") - F.col("_first") + 1)
             .filter(F.col("row_in_file") > 1))
@@ -101,8 +104,13 @@ def read_csv_by_header(spark: SparkSession, path: str | list[str],
                                 F.element_at("_cells", F.col(f"_pos_{f}"))), F.lit("")).alias(f)
               for f in fields]
     row_number = (F.col("row_in_file") - 1).alias("row_number")
-    row_key = (F.shiftleft(F.col("_file_no").cast("bigint"), ROW_BITS)
-               + F.col("row_in_file") - 1).alias("row_key")
+    # a header that fills every positional column may hide wanted fields
+    # beyond them: fail loudly rather than read them as missing
+    too_wide = F.raise_error(F.concat(F.lit(f"CSV header has {width} or more columns: "),
+                                      F.col("source_file")))
+    row_key = F.when(F.col("_full"), too_wide.cast("bigint")).otherwise(
+        F.shiftleft(F.col("_file_no").cast("bigint"), ROW_BITS) + F.col("row_in_file") - 1
+    ).alias("row_key")
     return rows.select("source_file", row_number, row_key, *picked)
 
 

@@ -126,3 +126,11 @@ def test_store_page_prunes_month_partitions(spark, capsys):
     assert "PartitionFilters: [isnotnull(txn_month" in scan
     pushed = scan.split("PushedFilters: [", 1)[1].split("]", 1)[0]
     assert "EqualTo(customer_id," in pushed and "GreaterThanOrEqual(transaction_date," in pushed
+
+
+def test_stats_document(spark):
+    tx, cu = tables(spark)
+    doc = stats.stats_document(tx).first()
+    assert (doc.total_transactions, doc.unique_customers) == (5, 2)
+    assert [(c.currency, c.txn_count) for c in doc.by_currency] == [("EUR", 1), ("USD", 4)]
+    assert [c.channel for c in doc.by_channel] == ["api", "pos", "web"]

@@ -87,3 +87,14 @@ def test_unnest_parallel_arrays(spark):
     assert max(len(r.id) for r in spread.collect()) <= 100
     back = unnest_parallel_arrays(chunks, ("id", "ext"))
     assert sorted(tuple(r) for r in back.collect()) == sorted(tuple(r) for r in df.collect())
+
+
+def test_csv_header_wider_than_read_width_fails(spark, tmp_dir):
+    import pytest
+    d = f"{tmp_dir}/wide"
+    write(f"{d}/w.csv", ",".join(f"x{i}" for i in range(10)) + ",customerId\n" +
+          ",".join("v" for _ in range(11)) + "\n")
+    with pytest.raises(Exception, match="CSV header has 8 or more columns"):
+        files.read_csv_by_header(spark, d, width=8).collect()
+    ok = files.read_csv_by_header(spark, d, width=16).collect()
+    assert ok[0].customerId == "v"
