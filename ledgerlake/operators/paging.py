@@ -13,6 +13,7 @@ one partition. Page totals are the true totals, also past the last page.
 
 from __future__ import annotations
 
+import datetime as dt
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
@@ -44,9 +45,16 @@ def clamp_api(req: PageRequest) -> PageRequest:
                    page_size=min(max(req.page_size, 1), C.MAX_PAGE_SIZE))
 
 
+def _instant(text: str) -> dt.datetime:
+    value = dt.datetime.fromisoformat(text.strip())
+    if value.tzinfo is not None:
+        value = value.astimezone(dt.timezone.utc).replace(tzinfo=None)
+    return value
+
+
 def check_range(req: PageRequest) -> None:
     """both bounds given and from after to is a request error."""
-    if req.from_date and req.to_date and req.from_date > req.to_date:
+    if req.from_date and req.to_date and _instant(req.from_date) > _instant(req.to_date):
         raise ValueError("from_date must not be after to_date")
 
 

@@ -66,6 +66,14 @@ def test_unknown_customer_and_bad_range(spark):
     assert empty.info.first().total_count == 0
 
 
+def test_range_check_compares_instants():
+    paging.check_range(paging.PageRequest("x", from_date="2024-01-01T10:00:00+05:00",
+                                          to_date="2024-01-01 06:00"))
+    with pytest.raises(ValueError):
+        paging.check_range(paging.PageRequest("x", from_date="2024-01-02",
+                                              to_date="2024-01-01T23:59:59Z"))
+
+
 def test_clamp():
     r = paging.clamp_api(paging.PageRequest("x", page=0, page_size=1000))
     assert (r.page, r.page_size) == (1, 100)
