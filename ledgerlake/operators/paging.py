@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config as C
-from ..functions.parsing import page_count, utc_now
+from ..functions.parsing import page_count, parse_timestamp, utc_now
 
 
 class CustomerNotFound(LookupError):
@@ -64,8 +64,11 @@ def _optional(text: str | None) -> str | None:
 
 
 def _ts(text: str | None) -> Column:
-    return utc_now() if text is None \
-        else F.lit(text).cast("timestamp_ntz")
+    """A request bound as UTC wall-clock (an offset in the text is applied)."""
+    if text is None:
+        return utc_now()
+    _instant(text)                     # refuse text that is not a date at plan time
+    return parse_timestamp(F.lit(text))
 
 
 @dataclass(frozen=True)
@@ -80,7 +83,7 @@ def normalize(req: PageRequest) -> tuple[PageRequest, DateRange]:
     page = req.page if req.page > 0 else C.DEFAULT_PAGE
     size = req.page_size if req.page_size > 0 else C.DEFAULT_PAGE_SIZE
     upper = _ts(req.to_date if req.to_date else req.as_of)
-    lower = (F.lit(req.from_date).cast("timestamp_ntz") if req.from_date
+    lower = (_ts(req.from_date) if req.from_date
              else upper - F.make_ym_interval(F.lit(0), F.lit(C.DEFAULT_LOOKBACK_MONTHS)))
     norm = replace(req, page=page, page_size=size, currency=_optional(req.currency),
                    channel=_optional(req.channel))
@@ -169,8 +172,8 @@ def page_all_customers(tx: DataFrame, customers: DataFrame, page: int, page_size
     hot customer costs no more than a small one after the map side. The
     per-customer total is a plain aggregate (partial, then final).
     """
-    lower = F.lit(from_date).cast("timestamp_ntz") if from_date else None
-    upper = F.lit(to_date).cast("timestamp_ntz") if to_date else None
+    lower = _ts(from_date) if from_date else None
+    upper = _ts(to_date) if to_date else None
     rows = tx
     if lower is not None:
         rows = rows.filter(F.col("transaction_date") >= lower)
