@@ -54,7 +54,8 @@ def q_ingest_json_stream(spark, sf):
     # JSON records carry a typed amount ('1e3' is a number, '1,234.56785' is
     # not) and ISO-only dates, so the typed rule set decides differently from
     # the CSV one on those fixture rows.
-    root = _run(spark, sf, "json")
+    # all three files in one micro-batch: ingest order is file, then row
+    root = _run(spark, sf, "json", files_per_trigger=3)
     return store.read_transactions(spark, root)
 
 
