@@ -36,3 +36,27 @@ def test_oracle_agreement(spark, name):
     idx = [cols.index(c) for c in df.columns]
     duck = [tuple(r[i] for i in idx) for r in cur.fetchall()]
     assert rows_key([tuple(r) for r in df.collect()]) == rows_key(duck)
+
+
+def _plan(spark, capsys, name):
+    df = E.queries()[name](spark, SF)
+    capsys.readouterr()
+    df.explain(mode="formatted")
+    return capsys.readouterr().out
+
+
+@pytest.mark.parametrize("name", ["classify_rows", "page_all_customers", "stats_grouping_sets",
+                                  "customer_page"])
+def test_no_single_partition_exchange(spark, capsys, name):
+    """No hot-path plan gathers rows into one partition or pairs all rows."""
+    plan = _plan(spark, capsys, name)
+    assert "SinglePartition" not in plan
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_page_total_is_an_aggregate_not_a_window(spark, capsys):
+    """The page total is a partial + final count (one row per task crosses
+    to the final step), never COUNT(*) OVER () over all filtered rows."""
+    plan = _plan(spark, capsys, "page_with_total")
+    assert "Window" not in plan
+    assert "partial_count" in plan
