@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 CHUNK = 1 << 21
+CHUNK_DOCS = 2048
 BASE = np.uint64(0x9E3779B97F4A7C15)
 BASE_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 BYTE_CODES = np.random.Generator(np.random.PCG64(7)).integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -91,12 +92,12 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def chunks(column: pa.Array, size: int = CHUNK) -> Iterator[Chunk]:
-    """Whole documents in order, about ``size`` bytes at a time."""
+    """Whole documents in order, about ``size`` bytes (and at most CHUNK_DOCS) at a time."""
     buf, off = text_buffers(column)
     i, n = 0, len(off) - 1
     while i < n:
         j = max(i + 1, int(np.searchsorted(off, off[i] + size, side="right")) - 1)
-        j = min(j, n)
+        j = min(j, n, i + CHUNK_DOCS)
         yield Chunk(buf[off[i]:off[j]], off[i:j + 1] - off[i], i)
         i = j
 

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrays import SPACE_WORDS, Chunk, chunks, words
-from .stage import table
+from .stage import drop, stage, table
 
 THRESHOLD = 0.3
 LEVELS = 8               # shares 1/2, 1/8, 1/32, ... (one indicator for each factor of 4)
@@ -95,29 +95,30 @@ def indicators(d: np.ndarray, g: np.ndarray, level: np.ndarray) -> tuple[np.ndar
     return d[rep], g[rep] * LEVELS + level[rep] + step
 
 
-def _features(batches):
-    """Per document: label, key and its sorted feature list."""
+def _codes(batches):
+    """Per document: its grams with their finest level, two bytes each."""
     for b in batches:
-        text = b.column("text")
-        for c in chunks(text):
-            d, f = indicators(*gram_levels(c))
-            order = np.argsort(d, kind="stable")
-            off = np.searchsorted(d[order], np.arange(len(c) + 1))
-            part = slice(c.first, c.first + len(c))
+        for c in chunks(b.column("text")):
+            d, g, level = gram_levels(c)
+            code = (g * LEVELS + level).astype(np.uint16)
+            off = np.searchsorted(d, np.arange(len(c) + 1))
             yield pa.RecordBatch.from_arrays(
-                [b.column("label")[part], b.column("pick")[part],
-                 pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(f[order].astype(np.int32)))],
-                ["label", "pick", "f"])
+                [b.column("doc_id")[c.first:c.first + len(c)],
+                 pa.array([code[i:j].tobytes() for i, j in zip(off, off[1:])], pa.binary())], ["doc_id", "codes"])
+
+
+def expand(codes: bytes) -> np.ndarray:
+    """All indicators of a document from its codes."""
+    code = np.frombuffer(codes, np.uint16).astype(np.int64)
+    return indicators(code, code // LEVELS, code % LEVELS)[1]
 
 
 def _class_counts(batches):
     """Indicator counts per class, one row for each feature and task."""
     total = np.zeros((2, FEATURES), dtype=np.int64)
     for b in batches:
-        label = b.column("label").to_numpy(zero_copy_only=False).astype(np.int64)
-        for c in chunks(b.column("text")):
-            d, f = indicators(*gram_levels(c))
-            total += np.bincount(label[c.first + d] * FEATURES + f, minlength=2 * FEATURES).reshape(2, FEATURES)
+        for label, codes in zip(b.column("label").to_pylist(), b.column("codes").to_pylist()):
+            total[label, expand(codes)] += 1
     cl, f = np.nonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(cl.astype(np.int32)), pa.array(f.astype(np.int32)), pa.array(total[cl, f])],
                                      ["label", "feature", "n"])
@@ -163,11 +164,13 @@ def platt(margin: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float,
 
 
 def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Training rows: text, label, and a pick order that depends on the id alone."""
+    """Training rows as (label, codes, pick). Texts stay where they are read: only
+    their codes, about an eighth of the bytes, meet the labels."""
     one = (labels.select("doc_id", F.col("quality").cast("int").alias("q")).where("q in (0, 1)")
            .groupBy("doc_id").agg(F.min("q").alias("label")).where(~held_out()))
-    return (docs.select("doc_id", "text").join(one, "doc_id")
-            .select("text", "label", F.xxhash64("doc_id").alias("pick")))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    coded = docs.select("doc_id", "text").where(~held_out()).mapInArrow(_codes, f"doc_id {kind}, codes binary")
+    return coded.join(one, "doc_id").select("label", "codes", F.xxhash64("doc_id").alias("pick"))
 
 
 def held_out():
@@ -176,11 +179,12 @@ def held_out():
 
 def fit(docs: DataFrame, labels: DataFrame, *, per_class: int = 2500, cost: float = 1.0,
         epochs: int = 60, smooth: float = 1.0, seed: int = 11) -> Model:
-    train = labelled(docs, labels)
+    train = stage(labelled(docs, labels), "labelled")
     counts = (train.mapInArrow(_class_counts, "label int, feature int, n long")
               .groupBy("label", "feature").agg(F.sum("n").alias("n")).toPandas())
     sizes = {r["label"]: r["n"] for r in train.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if len(sizes) < 2:
+        drop(train)
         share = min(max(float(next(iter(sizes), 1)), 1e-6), 1 - 1e-6)
         return Model(np.zeros((GRAMS, LEVELS)), 0.0, 1.0, float(np.log(share / (1 - share))))
     c = np.full((2, FEATURES), smooth)
@@ -188,14 +192,14 @@ def fit(docs: DataFrame, labels: DataFrame, *, per_class: int = 2500, cost: floa
     ratio = np.log(c[1] / c[1].sum()) - np.log(c[0] / c[0].sum())
     rows, y = [], []
     for cl in (0, 1):
-        part = train.where(F.col("label") == cl).orderBy("pick", F.md5(F.coalesce("text", F.lit("")))).limit(per_class)
-        got = part.mapInArrow(_features, "label int, pick long, f array<int>").orderBy("pick").toArrow()
-        rows += [np.asarray(x.as_py(), dtype=np.int64) for x in got.column("f")]
+        got = train.where(F.col("label") == cl).orderBy("pick", "codes").limit(per_class).toArrow()
+        rows += [expand(x) for x in got.column("codes").to_pylist()]
         y += [1.0 if cl else -1.0] * got.num_rows
     y = np.array(y)
     w = descend(rows, y, ratio, cost, epochs, seed)
     weight = (w[:-1] * ratio).reshape(GRAMS, LEVELS)
     margin = np.array([weight.ravel()[r].sum() for r in rows]) + w[-1]
+    drop(train)
     share = np.where(y > 0, sizes[1] / (y > 0).sum(), sizes[0] / (y < 0).sum())
     slope, offset = platt(margin, y, share / share.sum() * len(y))
     reached = np.flip(np.cumsum(np.flip(weight, 1), 1), 1)
