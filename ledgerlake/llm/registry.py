@@ -6,9 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontaminate import op10_cgk_decontamination
+from .neardup import op6_probminhash
 from .quality import op3_nbsvm_quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_nbsvm_quality": op3_nbsvm_quality,
+    "op6_probminhash": op6_probminhash,
+    "op10_cgk_decontamination": op10_cgk_decontamination,
 }
 ORACLE: dict[str, str] = {}
