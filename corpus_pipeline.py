@@ -4,11 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ledgerlake.llm.decontaminate import stage_decontaminate
+from ledgerlake.llm.mixing import stage_mix
+from ledgerlake.llm.neardup import stage_dedup
 from ledgerlake.llm.quality import stage_quality
 from ledgerlake.llm.stage import stage, table
+from ledgerlake.llm.tokens import stage_tokens
 
 STAGES = [
     ("quality classifier", stage_quality),
+    ("near-duplicates", stage_dedup),
+    ("benchmark decontamination", stage_decontaminate),
+    ("mixing to target weights", stage_mix),
+    ("token output", stage_tokens),
 ]
 
 #: The stages train a model, verify near copies and write files; SQL can't express them.

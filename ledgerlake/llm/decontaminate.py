@@ -37,9 +37,9 @@ from pyspark.sql import functions as F
 from .arrays import NAME_WORDS, Chunk, chunks, mix, words
 from .stage import table
 
-ANCHORS = 8
-LEAST_ANCHORS, ANCHOR_BYTES = 5, 6      # beyond five, only words of six bytes or more
-WALKS, TABLES, BITS = 4, 32, 6
+ANCHORS = 10
+LEAST_ANCHORS, ANCHOR_BYTES = 8, 5      # beyond eight, only words of five bytes or more
+WALKS, TABLES, BITS = 4, 32, 5
 SHARE = 0.1
 BLOCK_ROWS, BLOCK_BYTES = 20_000, 8 << 20
 PAD = 256

@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import op10_cgk_decontamination
+from .mixing import op8_sainte_lague
 from .neardup import op6_probminhash
 from .quality import op3_nbsvm_quality
+from .tokens import op2_repair_tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_repair_tokens": op2_repair_tokens,
     "op3_nbsvm_quality": op3_nbsvm_quality,
     "op6_probminhash": op6_probminhash,
+    "op8_sainte_lague": op8_sainte_lague,
     "op10_cgk_decontamination": op10_cgk_decontamination,
 }
 ORACLE: dict[str, str] = {}
