@@ -22,9 +22,11 @@ Strings that look like special tokens are ordinary text.
 
 from __future__ import annotations
 
+import functools
+import os
 import struct
 import zlib
-from itertools import chain
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +39,8 @@ from .stage import shared_dir, table
 
 END_ID = 0
 BLOCK_TOKENS = 1 << 20
-ROUNDS, PAIRS_A_ROUND, MIN_COUNT = 8, 1024, 8
-MEMO = 300_000
+ROUNDS, PAIRS_A_ROUND, MIN_COUNT = 5, 2048, 8
+MEMO = 400_000
 _HEAD = struct.Struct("<4sIIIIQ")
 
 
@@ -46,10 +48,11 @@ class Encoder:
     """The tokenizer with a bounded memory of its pieces.
 
     Byte-level BPE never merges across the pieces that its pattern cuts, so a
-    piece's ids can be kept; the library encodes each piece that is new.
+    piece's ids can be kept; the library's merges run on each piece that is new.
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"      # a task has one core
         import public_tokenizers
         import regex
         from tokenizers import Tokenizer
@@ -58,68 +61,85 @@ class Encoder:
         self.tok.encode_special_tokens = True
         self.vocab = self.tok.get_vocab_size()
         self.pieces = regex.compile(public_tokenizers.PATTERN).findall
-        self.memo: dict[str, list[int]] = {}
-
-    def __call__(self, text: str) -> np.ndarray:
-        pieces, memo = self.pieces(text), self.memo
-        new = [p for p in set(pieces) if p not in memo]
-        if new:
-            if len(memo) + len(new) > MEMO:
-                memo.clear()
-                new = list(set(pieces))
-            memo.update(zip(new, (e.ids for e in self.tok.encode_batch(new, add_special_tokens=False))))
-        return np.fromiter(chain.from_iterable(map(memo.__getitem__, pieces)), np.uint32)
+        self.memo: dict[str, bytes] = {}
+        # byte-level BPE writes each byte as a letter: itself if printable, else the next one from 256 on
+        plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+        rest = [b for b in range(256) if b not in plain]
+        self.letters = {b: 256 + k for k, b in enumerate(rest)}
+
+    def __call__(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text, ended with the end id."""
+        cut, memo = [self.pieces(t) for t in texts], self.memo
+        new = set().union(*cut).difference(memo)
+        if len(memo) + len(new) > MEMO:
+            memo.clear()
+            new = set().union(*cut)
+        merge, table = self.tok.model.tokenize, self.letters
+        for p in new:
+            memo[p] = array("I", [t.id for t in merge(p.encode().decode("latin-1").translate(table))]).tobytes()
+        end, get = np.array([END_ID], "<u4").tobytes(), memo.__getitem__
+        return [np.frombuffer(b"".join([*map(get, c), end]), "<u4") for c in cut]
+
+
+@functools.cache
+def encoder(path: str) -> Encoder:
+    """One encoder for each Python worker."""
+    return Encoder(path)
 
 
 def repair(ids: np.ndarray, ends: np.ndarray, vocab: int, rounds: int = ROUNDS, top: int = PAIRS_A_ROUND,
            least: int = MIN_COUNT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(symbols, offsets of documents, rules). ``ends``: offsets of the documents in ``ids``."""
-    room = (1 << 16) - vocab if vocab < 60_000 else (1 << 31) - vocab
-    seq, rules = ids.astype(np.uint64), []
+    narrow = vocab < 60_000
+    room = (1 << 16) - vocab if narrow else (1 << 31) - vocab
+    kind, shift = (np.uint32, 16) if narrow else (np.uint64, 32)
+    seq, rules = ids.astype(kind), []
     closes = np.zeros(len(seq), bool)
     closes[ends[1:] - 1] = True
     for _ in range(rounds):
         if len(seq) < 2 or len(rules) >= room:
             break
-        key = (seq[:-1] << np.uint64(32)) | seq[1:]
+        key = (seq[:-1] << kind(shift)) | seq[1:]
         inner = ~closes[:-1]
-        seen, n = _counts(key[inner])
+        ranked = np.sort(key[inner])
+        edge = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]])) if len(ranked) else np.zeros(0, np.int64)
+        n = np.diff(np.append(edge, len(ranked)))
         often = np.flatnonzero(n >= least)
         if not len(often):
             break
-        pick = np.sort(seen[often[np.lexsort((seen[often], -n[often]))][:min(top, room - len(rules))]])
-        first = np.zeros(vocab + len(rules), bool)
-        first[(pick >> np.uint64(32)).astype(np.int64)] = True
-        at = np.flatnonzero(inner & first[seq[:-1].astype(np.int64)])
-        where = np.minimum(np.searchsorted(pick, key[at]), len(pick) - 1)
-        hit = pick[where] == key[at]
-        at, where = at[hit], where[hit]
+        pick = ranked[edge[often]]
+        pick = pick[np.lexsort((pick, -n[often]))][:min(top, room - len(rules))]
+        # an open table finds the pairs; of pairs on one place the most frequent is taken now
+        slot = _slot(pick)
+        _, one = np.unique(slot, return_index=True)
+        pick = pick[np.sort(one)]
+        place = np.full(_SLOTS, -1, np.int32)
+        place[_slot(pick)] = np.arange(len(pick), dtype=np.int32)
+        where = place[_slot(key)]
+        at = np.flatnonzero(where >= 0)
+        at = at[(pick[where[at]] == key[at]) & inner[at]]
         # runs of neighbouring hits overlap: every second one of a run is replaced
         begins = np.ones(len(at), bool)
         begins[1:] = np.diff(at) != 1
         run = np.maximum.accumulate(np.where(begins, np.arange(len(at)), 0))
-        even = (np.arange(len(at)) - run) % 2 == 0
-        at, where = at[even], where[even]
-        seq[at] = np.uint64(vocab + len(rules)) + where.astype(np.uint64)
+        at = at[(np.arange(len(at)) - run) % 2 == 0]
+        seq[at] = vocab + len(rules) + where[at]
         closes[at] |= closes[at + 1]
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
         seq, closes = seq[keep], closes[keep]
-        rules += [(int(p) >> 32, int(p) & 0xFFFFFFFF) for p in pick]
+        rules += [(int(p) >> shift, int(p) & ((1 << shift) - 1)) for p in pick]
     off = np.concatenate([[0], np.flatnonzero(closes) + 1])
     return seq, off, np.array(rules, np.uint32).reshape(-1, 2)
 
 
-def _counts(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    if not len(key):
-        return key, np.zeros(0, np.int64)
-    if int(key.max()) >> 48 == 0 and int((key & np.uint64(0xFFFFFFFF)).max()) < 1 << 16:
-        small = np.sort((key >> np.uint64(16)).astype(np.uint32) | (key & np.uint64(0xFFFF)).astype(np.uint32))
-        edge = np.flatnonzero(np.concatenate([[True], small[1:] != small[:-1]]))
-        one = small[edge].astype(np.uint64)
-        one = ((one >> np.uint64(16)) << np.uint64(32)) | (one & np.uint64(0xFFFF))
-        return one, np.diff(np.append(edge, len(small)))
-    return np.unique(key, return_counts=True)
+_SLOTS = 1 << 18
+
+
+def _slot(key: np.ndarray) -> np.ndarray:
+    if key.dtype == np.uint32:
+        return (key * np.uint32(0x9E3779B1)) >> np.uint32(14)
+    return (key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(46)
 
 
 def expansion_lengths(rules: np.ndarray, vocab: int) -> np.ndarray:
@@ -189,7 +209,7 @@ def _pack_rows(path: str):
 
     def run(batches):
         part = TaskContext.get().partitionId()
-        enc, ids, toks, held, block = Encoder(path), [], [], 0, 0
+        enc, ids, toks, held, block = encoder(path), [], [], 0, 0
 
         def row():
             return pa.RecordBatch.from_arrays(
@@ -197,13 +217,14 @@ def _pack_rows(path: str):
                  pa.array([held], pa.int64()), pa.array([pack(ids, toks, enc.vocab)], pa.binary())], names)
 
         for b in batches:
-            for i, text in zip(b.column("doc_id").to_pylist(), b.column("text")):
-                t = np.append(enc(text.as_py() or ""), np.uint32(END_ID))
-                ids.append(i), toks.append(t)
-                held += len(t)
-                if held >= BLOCK_TOKENS:
-                    yield row()
-                    ids, toks, held, block = [], [], 0, block + 1
+            for lo in range(0, b.num_rows, 256):
+                texts = [t or "" for t in b.column("text")[lo:lo + 256].to_pylist()]
+                for i, t in zip(b.column("doc_id")[lo:lo + 256].to_pylist(), enc(texts)):
+                    ids.append(i), toks.append(t)
+                    held += len(t)
+                    if held >= BLOCK_TOKENS:
+                        yield row()
+                        ids, toks, held, block = [], [], 0, block + 1
         if ids:
             yield row()
     return run
