@@ -14,13 +14,15 @@
   is linked if its probability Jaccard or its set Jaccard similarity reaches
   the threshold.
 
-Which pairs of a bucket are verified: never all. Each bucket takes a few hubs
-(the texts that share the most buckets with others first) and verifies its
-members against them; linked members form components. Then every bucket that
-still holds several components takes more hubs, always from outside its largest
-component, until each unlinked text outside it has been a hub. So any two texts
-of a bucket are either in one component or were compared, without a cap.
-Rounds take 2, 16, 128, ... hubs a bucket.
+Which pairs of a bucket are verified: never all, unless it has at most
+``SMALL`` texts. First each bucket's hub (the text that shares the most buckets
+with others) is compared with its members; linked texts form components. Then
+come rounds: the members of every bucket that still holds several components
+are sorted by further slots of their signatures, each round by other slots, and
+neighbours of different components are compared. Alike texts stand together in
+such an order, a pair meets in all the buckets it shares (13 at 0.8), and any
+chain of links is enough, so a few rounds join what belongs together. Rounds go
+on until one finds no link (three at least); each is linear in the entries.
 
 Defined results: null and empty texts and texts of white space have no words
 and belong to no pair; texts that are equal byte for byte share a class, empty
@@ -44,8 +46,9 @@ K = 5
 SLOTS, BANDS = 128, 32
 ROWS = SLOTS // BANDS
 THRESHOLD = 0.8
+SMALL, LEAST_ROUNDS = 8, 3
 _STEP = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
-_ID_BITS = np.uint64(42)
+_ID_BITS = np.uint64(42)                 # in a chunk: the document above, 42 bits of shingle below
 
 
 def shingles(c: Chunk, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -100,15 +103,25 @@ def band_keys(sig: np.ndarray, bands: int = BANDS) -> np.ndarray:
     return mix(h).view(np.int64)
 
 
+def band_codes(sig: np.ndarray, bands: int = BANDS) -> np.ndarray:
+    """16 bits of each slot of a band, first slot on top: orders texts by these slots."""
+    part = sig.reshape(len(sig), bands, -1)[:, :, :4] & np.uint64(0xFFFF)
+    out = np.zeros(part.shape[:2], np.uint64)
+    for j in range(part.shape[2]):
+        out = (out << np.uint64(16)) | part[:, :, j]
+    return out.view(np.int64)
+
+
 def _bands(batches):
     for b in batches:
         for c in chunks(b.column("text")):
             doc, ident, weight = shingles(c)
-            keys = band_keys(signatures(doc, ident, weight, len(c)))
+            sig = signatures(doc, ident, weight, len(c))
             some = np.bincount(doc, minlength=len(c)) > 0
-            off = np.concatenate([[0], np.cumsum(some * keys.shape[1])])
+            off = np.concatenate([[0], np.cumsum(some * BANDS)])
             yield pa.RecordBatch.from_arrays(
-                [b.column("node")[c.first:c.first + len(c)], list_array(keys[some].ravel(), off, pa.int64())], ["node", "bands"])
+                [b.column("node")[c.first:c.first + len(c)], list_array(band_keys(sig)[some].ravel(), off, pa.int64()),
+                 list_array(band_codes(sig)[some].ravel(), off, pa.int64())], ["node", "bands", "codes"])
 
 
 def _sets(batches):
@@ -117,9 +130,10 @@ def _sets(batches):
         for c in chunks(b.column("text")):
             doc, ident, weight = shingles(c)
             off = np.searchsorted(doc, np.arange(len(c) + 1))
+            short = (ident >> np.uint64(10)).astype(np.uint32)
             yield pa.RecordBatch.from_arrays(
                 [b.column("node")[c.first:c.first + len(c)],
-                 pa.array([ident[i:j].tobytes() for i, j in zip(off, off[1:])], pa.binary()),
+                 pa.array([short[i:j].tobytes() for i, j in zip(off, off[1:])], pa.binary()),
                  pa.array([b"" if (weight[i:j] == 1).all() else weight[i:j].astype(np.uint32).tobytes()
                            for i, j in zip(off, off[1:])], pa.binary())], ["node", "ids", "weights"])
 
@@ -156,7 +170,7 @@ def _verify(batches):
         cols = [b.column(k).to_pylist() for k in ("a_ids", "a_weights", "b_ids", "b_weights")]
         sim = np.empty(b.num_rows)
         for i, (ai, aw, bi, bw) in enumerate(zip(*cols)):
-            x, y = np.frombuffer(ai, np.uint64), np.frombuffer(bi, np.uint64)
+            x, y = np.frombuffer(ai, np.uint32), np.frombuffer(bi, np.uint32)
             sim[i] = similarity(x, one(aw, len(x)), y, one(bw, len(y)))
         yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(sim)], ["a", "b", "sim"])
 
@@ -169,74 +183,59 @@ def verify(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
             .where(F.col("sim") >= threshold).select("a", "b"))
 
 
-def _hub_pairs(state: DataFrame, hubs: int) -> DataFrame:
-    """Pairs of each bucket's next hubs with members of other components.
-
-    ``state``: bucket, node, score, comp, used. Hubs come from outside the
-    bucket's largest component, by score; their number bounds the pairs.
-    """
-    comps = state.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
-    top = comps.groupBy("bucket").agg(F.max(F.struct("n", "comp")).alias("top"), F.count("*").alias("parts")).where("parts > 1")
-    rest = state.where(~F.col("used")).join(top, "bucket").where(F.col("comp") != F.col("top.comp"))
-    w = Window.partitionBy("bucket").orderBy(F.desc("score"), "node")
-    pick = rest.withColumn("r", F.row_number().over(w)).where(F.col("r") <= hubs)
-    return pick.select("bucket", F.col("node").alias("hub"), F.col("comp").alias("hub_comp"))
+def _ordered(a: str, b: str) -> list:
+    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
 def links(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
     """(verified links between text keys, components of those links)."""
     base = docs.select(text_key().alias("node"), "text")
-    sig = stage(base.mapInArrow(_bands, "node binary, bands array<long>")
-                .groupBy("node").agg(F.first("bands").alias("bands")), "bands")
-    entry = sig.select("node", F.explode("bands").alias("bucket"))
+    sig = stage(base.mapInArrow(_bands, "node binary, bands array<long>, codes array<long>")
+                .groupBy("node").agg(F.first(F.struct("bands", "codes")).alias("s")).select("node", "s.*"), "bands")
+    entry = sig.select("node", "codes", F.posexplode("bands").alias("band", "bucket"))
+    later = [F.element_at("codes", ((F.col("band") + k) % BANDS + 1).cast("int")).alias(f"c{k}") for k in (1, 2, 3)]
     shared = stage(entry.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
-    member = stage(entry.join(shared, "bucket").select("bucket", "node", "n"), "members")
+    member = stage(entry.select("node", "bucket", *later).join(shared.hint("merge"), "bucket"), "members")
     score = member.groupBy("node").agg(F.sum("n").alias("score"))
-    member2 = stage(member.join(score, "node").select("bucket", "node", "score"), "scored")
-    involved = stage(score.select("node"), "involved")
-    sets = stage(base.join(involved, "node", "left_semi").mapInArrow(_sets, "node binary, ids binary, weights binary")
-                 .groupBy("node").agg(F.first("ids").alias("ids"), F.first("weights").alias("weights")), "sets")
-    drop(sig, shared, member, involved)
-
-    # the first round: the best hub of each bucket
-    top = member2.groupBy("bucket").agg(F.max(F.struct("score", "node")).alias("top"))
-    pairs = stage(member2.join(top.select("bucket", F.col("top.node").alias("hub")), "bucket")
-                  .where("node != hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct(), "pairs")
+    score = stage(score, "scores")
+    sets = stage(base.join(score.select("node").hint("merge"), "node", "left_semi").mapInArrow(_sets, "node binary, ids binary, weights binary")
+                 .groupBy("node").agg(F.first(F.struct("ids", "weights")).alias("s")).select("node", "s.*"), "sets")
+    drop(sig, shared)
+
+    top = (member.select("node", "bucket").join(score.hint("merge"), "node")
+           .groupBy("bucket").agg(F.max(F.struct("score", "node"))["node"].alias("hub")))
+    pairs = stage(member.select("node", "bucket").join(top.hint("merge"), "bucket").where("node != hub")
+                  .select(*_ordered("node", "hub")).distinct(), "pairs")
     found = stage(verify(pairs, sets, threshold), "links")
-    tested, used = [pairs], stage(top.select("bucket", F.col("top.node").alias("node")), "used")
-    done = [used]
-    hubs = 2
+    tested, live, turn = pairs, member, 0
     while True:
+        turn += 1
         comp = components(found)
-        state = (member2.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-                 .join(_union(done).withColumn("u", F.lit(True)), ["bucket", "node"], "left")
-                 .select("bucket", "node", "score", "comp", F.col("u").isNotNull().alias("used")))
-        state = stage(state, "state")
-        pick = stage(_hub_pairs(state, hubs), "hubs")
-        new = (state.join(pick, "bucket").where("comp != hub_comp")
-               .select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
-               .join(_union(tested), ["a", "b"], "left_anti"))
-        new = stage(new, "pairs")
-        drop(state)
-        if not pick.limit(1).count():
-            drop(new, pick, member2, sets, *tested, *done)
+        state = (live.drop("comp").join(comp.hint("merge"), "node", "left").withColumn("comp", F.coalesce("comp", "node")))
+        mixed = state.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y").select("bucket")
+        mixed = stage(mixed, "mixed")
+        now = stage(state.join(mixed.hint("merge"), "bucket", "left_semi"), "state")
+        drop(live, mixed)
+        live = now
+        code = F.col(f"c{(turn - 1) % 3 + 1}")
+        by = 16 * ((turn - 1) // 3 % 4)                  # later rounds begin with another slot
+        code = F.shiftleft(code, by).bitwiseOR(F.shiftrightunsigned(code, 64 - by)) if by else code
+        # the first slots also cut large buckets into parts of like texts
+        line = Window.partitionBy("bucket", F.shiftrightunsigned(code, 56)).orderBy(code, "node")
+        near = (live.select("node", "comp", F.lag("node").over(line).alias("other"), F.lag("comp").over(line).alias("other_comp"))
+                .where("other_comp != comp").select(*_ordered("node", "other")))
+        if turn == 1:
+            few = live.where(F.col("n") <= SMALL).select("bucket", "node", "comp")
+            both = few.alias("p").join(few.alias("q"), F.expr("p.bucket = q.bucket and p.node < q.node and p.comp != q.comp"))
+            near = near.union(both.select(F.col("p.node").alias("a"), F.col("q.node").alias("b")))
+        new = stage(near.distinct().join(tested.hint("merge"), ["a", "b"], "left_anti"), "pairs")
+        more = stage(verify(new, sets, threshold), "links")
+        if turn >= LEAST_ROUNDS and not more.limit(1).count():
+            drop(new, more, live, sets, score, tested)
             return found, comp
-        if new.limit(1).count():
-            more = stage(_union([found, verify(new, sets, threshold)]), "links")
-            drop(found, comp)
-            found = more
-        tested.append(new)
-        done.append(pick)
-        hubs *= 8
-
-
-def _union(parts: list[DataFrame]) -> DataFrame:
-    keys = [c for c in ("bucket", "node", "a", "b") if c in parts[0].columns]
-    out = None
-    for p in parts:
-        p = p.withColumnRenamed("hub", "node") if "hub" in p.columns else p
-        out = p.select(*keys) if out is None else out.union(p.select(*keys))
-    return out
+        found, old = stage(found.union(more), "links"), found
+        tested, gone = stage(tested.union(new), "tested"), tested
+        drop(old, gone, new, more, comp)
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
