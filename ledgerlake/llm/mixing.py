@@ -32,7 +32,7 @@ from .stage import stage, table, text_key, word_array
 
 WEIGHTS = (5, 2, 1)
 SHARE, LIMIT = 1.5, 2.0
-BLOCK, SHARD_WORDS = 50, 4_000_000
+BLOCK, SHARD_WORDS = 50, 1_000_000
 SEED = 2024
 
 
@@ -99,7 +99,7 @@ def plan(sized: DataFrame, block: int = BLOCK, shard_words: int = SHARD_WORDS, s
               .withColumn("r", F.row_number().over(lot)).where("r <= seats").select("skey", "shard", "b"))
     parts = (placed.where("size > 0").select("skey", "shard", "first", "size",
              F.explode(F.sequence(F.floor(F.col("first") / block), F.floor((F.col("first") + F.col("size") - 1) / block))).alias("b"))
-             .join(chosen, ["skey", "shard", "b"]))
+             .join(chosen.hint("merge"), ["skey", "shard", "b"]))    # its size isn't known before it is made
     lo = F.greatest(F.col("b") * block, "first")
     hi = F.least((F.col("b") + 1) * block, F.col("first") + F.col("size"))
     cover = (parts.select("skey", "shard", "first", F.struct((lo - F.col("first")).alias("at"), (hi - lo).alias("n")).alias("part"))
