@@ -7,16 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import op10_cgk_decontamination
+from .divergence import op7_js_quality
 from .mixing import op8_sainte_lague
 from .neardup import op6_probminhash
 from .quality import op3_nbsvm_quality
 from .tokens import op2_repair_tokens
+from .urls import OP4_SQL, op4_temporal_lists
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_repair_tokens": op2_repair_tokens,
     "op3_nbsvm_quality": op3_nbsvm_quality,
+    "op4_temporal_lists": op4_temporal_lists,
     "op6_probminhash": op6_probminhash,
+    "op7_js_quality": op7_js_quality,
     "op8_sainte_lague": op8_sainte_lague,
     "op10_cgk_decontamination": op10_cgk_decontamination,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op4_temporal_lists": OP4_SQL}
