@@ -20,11 +20,17 @@ from .. import config as C
 ISO_DATETIME = (r"^\s*(\d{4}-\d{2}-\d{2})"
                 r"(?:[Tt ](\d{2}:\d{2}(?::\d{2}(?:\.\d{1,9})?)?))?"
                 r"\s*([Zz]|[+-]\d{2}(?::?\d{2})?)?\s*$")
-# Month/day/year, optionally with hours:minutes[:seconds].
-US_DATETIME = r"^\s*(\d{1,2})/(\d{1,2})/(\d{4})(?:\s+(\d{1,2}):(\d{2})(?::(\d{2}))?)?\s*$"
+# Month/day/year, year/month/day (slashes or dashes) and day month-name year,
+# each optionally with hours:minutes[:seconds] and AM or PM.
+_CLOCK = r"(?:\s+(\d{1,2}):(\d{2})(?::(\d{2}))?(?:\s*([AaPp])[Mm])?)?\s*$"
+US_DATETIME = r"^\s*(\d{1,2})/(\d{1,2})/(\d{4})" + _CLOCK
+YMD_DATETIME = r"^\s*(\d{4})[/-](\d{1,2})[/-](\d{1,2})" + _CLOCK
+NAMED_DATETIME = r"^\s*(\d{1,2})[ -]([A-Za-z]{3,9})[ -](\d{4})" + _CLOCK
 # RFC 1123, e.g. "Mon, 15 Jan 2024 10:00:00 GMT".
 RFC1123_DATETIME = (r"^\s*(?:[A-Za-z]{3},\s*)?(\d{1,2})\s+([A-Za-z]{3})\s+(\d{4})\s+"
                     r"(\d{2}):(\d{2}):(\d{2})\s*(?:GMT|UTC|Z)\s*$")
+MONTH_NAMES = ("january", "february", "march", "april", "may", "june", "july", "august", "september",
+               "october", "november", "december")
 MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 
 # Invariant-culture decimal: blanks around, one optional sign (leading or
@@ -47,6 +53,14 @@ def utf16_length(c: Column) -> Column:
     return (F.octet_length(F.encode(c, "UTF-16BE")) / 2).cast("int")
 
 
+def utc_wall_clock(instant: Column) -> Column:
+    """An instant as UTC wall-clock time, by arithmetic on its microseconds: a session
+    zone with repeated hours (the end of daylight saving time) plays no part."""
+    seconds = (F.unix_micros(instant).cast("decimal(20,0)") / F.lit(1000000)).cast("decimal(18,6)")
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    return epoch + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), seconds)
+
+
 def _iso_timestamp(s: Column) -> Column:
     """ISO branch: one regex gate, then Spark's own timestamp casts.
 
@@ -57,19 +71,27 @@ def _iso_timestamp(s: Column) -> Column:
     """
     text = F.upper(s)
     has_offset = F.regexp_extract(s, ISO_DATETIME, 3) != ""
-    instant = text.try_cast("timestamp")
-    shifted = F.convert_timezone(F.current_timezone(), F.lit("UTC"),
-                                 instant.cast("timestamp_ntz"))
+    # the cast wants seconds before an offset
+    instant = F.regexp_replace(text, r"([T ]\d{2}:\d{2})(\s*(?:Z|[+-]\d|$))", "$1:00$2").try_cast("timestamp")
     return F.when(s.rlike(ISO_DATETIME),
-                  F.when(has_offset, shifted).otherwise(text.try_cast("timestamp_ntz")))
-
-
-def _us_timestamp(s: Column) -> Column:
-    g = [F.regexp_extract(s, US_DATETIME, i) for i in range(1, 7)]
-    num = [F.nullif(x, F.lit("")).cast("int") for x in g]
-    return F.when(s.rlike(US_DATETIME), F.try_make_timestamp_ntz(
-        num[2], num[0], num[1], F.coalesce(num[3], F.lit(0)), F.coalesce(num[4], F.lit(0)),
-        F.coalesce(num[5], F.lit(0)).cast("decimal(16,6)")))
+                  F.when(has_offset, utc_wall_clock(instant)).otherwise(text.try_cast("timestamp_ntz")))
+
+
+def _clock_timestamp(s: Column, pattern: str, year: int, month: int, day: int) -> Column:
+    """A date in the given groups with an optional clock in groups 4 to 7."""
+    g = {i: F.nullif(F.regexp_extract(s, pattern, i), F.lit("")) for i in range(1, 8)}
+    names = F.array(*[F.lit(m) for m in MONTHS])
+    full = F.array(*[F.lit(m) for m in MONTH_NAMES])
+    named = F.lower(g[month])
+    # a short name, or the whole one
+    by_name = F.greatest(F.array_position(names, named), F.array_position(full, named)).cast("int")
+    month_no = F.when(g[month].rlike("^[0-9]+$"), g[month].try_cast("int")).otherwise(F.nullif(by_name, F.lit(0)))
+    hour, half = F.coalesce(g[4].try_cast("int"), F.lit(0)), F.lower(g[7])
+    hour = (F.when(half.isNull(), hour).when((hour < 1) | (hour > 12), F.lit(None))
+            .when(half == "p", hour % 12 + 12).otherwise(hour % 12))
+    return F.when(s.rlike(pattern) & month_no.isNotNull() & hour.isNotNull(), F.try_make_timestamp_ntz(
+        g[year].try_cast("int"), month_no, g[day].try_cast("int"), hour, F.coalesce(g[5].try_cast("int"), F.lit(0)),
+        F.coalesce(g[6].try_cast("int"), F.lit(0)).cast("decimal(16,6)")))
 
 
 def _rfc1123_timestamp(s: Column) -> Column:
@@ -82,13 +104,13 @@ def _rfc1123_timestamp(s: Column) -> Column:
 
 def utc_now() -> Column:
     """The current instant as UTC wall-clock ``timestamp_ntz`` (any session zone)."""
-    return F.convert_timezone(F.current_timezone(), F.lit("UTC"),
-                              F.current_timestamp().cast("timestamp_ntz"))
+    return utc_wall_clock(F.current_timestamp())
 
 
 def parse_timestamp(s: Column) -> Column:
     """Text -> timestamp_ntz (UTC), or null when outside the grammar."""
-    return F.coalesce(_iso_timestamp(s), _us_timestamp(s), _rfc1123_timestamp(s))
+    return F.coalesce(_iso_timestamp(s), _clock_timestamp(s, US_DATETIME, 3, 1, 2), _clock_timestamp(s, YMD_DATETIME, 1, 2, 3),
+                      _clock_timestamp(s, NAMED_DATETIME, 3, 2, 1), _rfc1123_timestamp(s))
 
 
 def parse_amount(s: Column) -> Column:

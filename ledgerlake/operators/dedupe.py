@@ -1,14 +1,14 @@
 """Duplicate detection against the store and inside a batch.
 
-The store can be far larger than a batch, so it is never shuffled whole:
-it is first semi-joined with the batch's ids (Catalyst broadcasts the id
-side when its estimate is small, otherwise both sides are hash-partitioned
-on the id), which bounds every later step by the batch size.
+The store can be far larger than a batch: its id column is first semi-joined
+with the batch's ids (Catalyst broadcasts the id side when its estimate is
+small, otherwise the id column is scanned and hash-partitioned whole), which
+bounds every later step by the batch size.
 
 In-batch duplicates use an aggregate (min over an ordering struct), which
 Spark pre-aggregates map-side, instead of a window: a transaction id that
 repeats in a third of the batch is then folded before the shuffle, and the
-join back (one row per id on the build side) is split by AQE skew handling.
+join back is arranged so that AQE can split it (``plans/ingest.py``).
 """
 
 from __future__ import annotations

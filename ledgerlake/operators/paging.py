@@ -67,8 +67,8 @@ def _ts(text: str | None) -> Column:
     """A request bound as UTC wall-clock (an offset in the text is applied)."""
     if text is None:
         return utc_now()
-    _instant(text)                     # refuse text that is not a date at plan time
-    return parse_timestamp(F.lit(text))
+    # the datetime parsed here is the bound itself, so no accepted text is read in another way
+    return F.lit(_instant(text).isoformat(sep=" ")).cast("timestamp_ntz")
 
 
 @dataclass(frozen=True)
@@ -179,6 +179,13 @@ def page_all_customers(tx: DataFrame, customers: DataFrame, page: int, page_size
         rows = rows.filter(F.col("transaction_date") >= lower)
     if upper is not None:
         rows = rows.filter(F.col("transaction_date") <= upper)
+    if "txn_month" in tx.columns:                                    # month pruning, as in filter_transactions
+        if lower is not None:
+            rows = rows.filter(F.col("txn_month") >= F.date_format(lower, "yyyy-MM"))
+        if upper is not None:
+            rows = rows.filter(F.col("txn_month") <= F.date_format(upper, "yyyy-MM"))
+    page = page if page > 0 else C.DEFAULT_PAGE                     # F9, as for one customer
+    page_size = min(page_size, C.MAX_PAGE_SIZE) if page_size > 0 else C.DEFAULT_PAGE_SIZE
     first, last = (page - 1) * page_size + 1, page * page_size
     w = Window.partitionBy("customer_id").orderBy(*newest_first())
     ranked = (rows.withColumn("rn", F.row_number().over(w))

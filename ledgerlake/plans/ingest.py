@@ -17,7 +17,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +33,7 @@ from ..operators.skew import split_hot_keys_join
 class IngestResult:
     classified: DataFrame
     clock: Column
+    as_of: str | None = None
 
     @property
     def created_customers(self) -> DataFrame:
@@ -42,7 +42,7 @@ class IngestResult:
 
     @property
     def accepted(self) -> DataFrame:
-        return accepted_transactions(self.classified)
+        return accepted_transactions(self.classified, self.as_of)
 
     @property
     def rejects(self) -> DataFrame:
@@ -77,21 +77,28 @@ def classify_batch(validated: DataFrame, store: DataFrame | None, customers: Dat
     hash aggregate per id, store hits folded in as key -1), every row is
     joined back to its id's owner, and the customer lookup is keyed only for
     accepted rows. A blank or repeated id that fills much of a batch is
-    folded map-side by the partial aggregate; in the join back its rows are
-    split over several tasks by AQE's skew handling, or, where that is
-    switched off, by salting the hot ids (``split_hot_keys_join``, which
-    costs extra passes over the per-id table).
+    folded map-side by the partial aggregate. In the join back, rows that are
+    not valid carry keys of their own, and a valid id that repeats very often is
+    split by AQE (both sides are plain shuffles, see below) or, where a cluster
+    turns that off, salted by ``split_hot_keys_join``.
     """
     clock = as_of_literal(as_of)
     empty_errors = F.array().cast(ERROR_TYPE)
     valid = is_valid()
     candidates = validated.withColumn("_cand", F.when(valid, F.col(ORDER_KEY)))
     owners = first_occurrence(candidates, store, "_cand")
+    # rows that own nothing (invalid ones, null ids) get a key of their own that
+    # matches no id, so neither a blank id nor null gathers them in one task
+    own = F.concat(F.lit("\u0000"), F.col(ORDER_KEY).cast("string"))
+    keyed = validated.withColumn("_id", F.when(valid, F.col("transactionId")).otherwise(own))
     if _runtime_skew_split(validated.sparkSession):
-        # AQE splits an oversized join partition at run time; no extra passes
-        joined = validated.join(owners.drop("_rows"), "transactionId", "left")
+        # the new key makes the owners a shuffle of their own: only a join of two
+        # plain shuffles is split by AQE, one onto an aggregate is not
+        named = owners.select(F.concat("transactionId", F.lit("")).alias("_id"), "_owner")
+        joined = keyed.join(named, "_id", "left").drop("_id")
     else:
-        joined = split_hot_keys_join(validated, owners, "transactionId", "_rows", ORDER_KEY)
+        joined = split_hot_keys_join(keyed, owners.withColumnRenamed("transactionId", "_id"), "_id", "_rows",
+                                     ORDER_KEY).drop("_id")
     owner = F.col("_owner")
     dup_code = (F.when(owner == -1, F.lit(C.ERR_DUP_STORED))
                 .when(owner != F.col(ORDER_KEY), F.lit(C.ERR_DUP_BATCH)))
@@ -113,37 +120,31 @@ def classify_batch(validated: DataFrame, store: DataFrame | None, customers: Dat
               .otherwise(F.array(cust.unresolved_error())))
     classified = (keyed.withColumn("status", status).withColumn(ERRORS_COL, errors)
                   .drop("_valid", "_first", "dup_code"))
-    return IngestResult(classified, clock)
+    return IngestResult(classified, clock, as_of)
 
 
-def spread_for_cpu(df: DataFrame) -> DataFrame:
-    """Give CPU-heavy row work (parsing, rules) at least one task per core.
+def spread_for_cpu(df: DataFrame, tasks: int | None) -> DataFrame:
+    """Give CPU-heavy row work (parsing, rules) ``tasks`` tasks, if the caller says so.
 
-    A batch read from few large row groups (or one multi-line CSV) arrives
-    in fewer partitions than there are cores; it is then spread round-robin
-    before validation, so the rules run on every core. Batches that already
-    have enough partitions (any large input) are left alone. The partition
-    count comes from the physical plan; for a plain scan that is planning
-    only (for a persisted batch, it is the cache's own first pass).
+    A batch read from few large row groups (or one multi-line CSV) arrives in
+    few partitions; the caller, who knows the input, may spread it round-robin
+    before validation. The plan does not depend on the input's size.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
-    return df
+    return df.repartition(tasks) if tasks else df
 
 
 def ingest_text_batch(raw: DataFrame, store: DataFrame | None, customers: DataFrame,
-                      as_of: str | None = None) -> IngestResult:
+                      as_of: str | None = None, spread_tasks: int | None = None) -> IngestResult:
     """CSV-style batch: all-string rows with ``row_key`` (and usually
     ``source_file`` / ``row_number`` for reporting)."""
-    return classify_batch(validate_text_rows(spread_for_cpu(raw), as_of), store, customers,
+    return classify_batch(validate_text_rows(spread_for_cpu(raw, spread_tasks), as_of), store, customers,
                           as_of)
 
 
 def ingest_typed_batch(records: DataFrame, store: DataFrame | None, customers: DataFrame,
-                       as_of: str | None = None) -> IngestResult:
+                       as_of: str | None = None, spread_tasks: int | None = None) -> IngestResult:
     """JSON-style batch: ``txn_date`` / ``txn_amount`` already typed."""
-    return classify_batch(validate_typed_rows(spread_for_cpu(records), as_of), store,
+    return classify_batch(validate_typed_rows(spread_for_cpu(records, spread_tasks), as_of), store,
                           customers, as_of)
 
 
@@ -195,7 +196,7 @@ def errors_by_field(classified: DataFrame) -> DataFrame:
 
 def run_ingest(batch: DataFrame, root: str, label: str, as_of: str | None = None,
                typed: bool = False, base_transactions: DataFrame | None = None,
-               base_customers: DataFrame | None = None) -> dict:
+               base_customers: DataFrame | None = None, spread_tasks: int | None = None) -> dict:
     """Ingest one batch into the store at ``root`` under partition ``label``.
 
     ``base_*`` are stored tables that live outside ``root`` (e.g. history
@@ -206,7 +207,7 @@ def run_ingest(batch: DataFrame, root: str, label: str, as_of: str | None = None
     from ..sources import store
 
     spark = batch.sparkSession
-    tx = store.read_transactions(spark, root, exclude_batch=label)
+    tx = store.read_transactions(spark, root, exclude_batch=label, with_partitions=False)
     cu = store.read_customers(spark, root, exclude_batch=label)
     if base_transactions is not None:
         tx = base_transactions.select(*tx.columns).unionByName(tx)
@@ -215,25 +216,26 @@ def run_ingest(batch: DataFrame, root: str, label: str, as_of: str | None = None
     if as_of is None:
         # one clock for the whole batch, also when a stage is recomputed
         as_of = spark.range(1).select(utc_now().cast("string")).first()[0]
-    # The batch is used by several branches of the plan (invalid rows, the id
-    # aggregate, the join back); keep it once instead of re-reading the input.
-    # Recomputing a lost block only re-reads the input files.
-    source = batch.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        validate = validate_typed_rows if typed else validate_text_rows
-        result = classify_batch(validate(spread_for_cpu(source), as_of), tx, cu, as_of)
-        # Cut the lineage: the classification is written once to shared
-        # storage, and every output below is read from that table.
-        staged = scratch_path(spark, "classified")
-        result.classified.write.parquet(staged)
-    finally:
-        source.unpersist()
+    # The validated batch is used by several branches of the plan (the id
+    # aggregate, the store check, the join back): it is written once to shared
+    # storage, so the input is read and the rules are evaluated once.
+    validate = validate_typed_rows if typed else validate_text_rows
+    checked = scratch_path(spark, "validated")
+    validate(spread_for_cpu(batch, spread_tasks), as_of).write.parquet(checked)
+    result = classify_batch(spark.read.parquet(checked), tx, cu, as_of)
+    # Cut the lineage: the classification is written once to shared
+    # storage, and every output below is read from that table.
+    staged = scratch_path(spark, "classified")
+    result.classified.write.parquet(staged)
+    store.remove(spark, checked)
     classified = spark.read.parquet(staged)
-    done = IngestResult(classified, as_of_literal(as_of))
+    done = IngestResult(classified, as_of_literal(as_of), as_of)
 
     store.append_customers(done.created_customers, root, label)
     store.append_transactions(accepted_transactions(classified, as_of), root, label)
     store.write_rejects(quarantine_rows(classified), root, label)
     counters = ingest_counters(classified)
     store.write_counters(counters, root, label)
-    return counters.first().asDict()
+    out = counters.first().asDict()
+    store.remove(spark, staged)
+    return out

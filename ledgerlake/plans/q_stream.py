@@ -46,7 +46,7 @@ def _run(spark, sf, fmt, files_per_trigger=1, twice=False):
 
 @register("ingest_csv_stream", ACCEPTED, CSV_CTES)
 def q_ingest_csv_stream(spark, sf):
-    return store.read_transactions(spark, _run(spark, sf, "csv"))
+    return store.read_transactions(spark, _run(spark, sf, "csv"), with_partitions=False)
 
 
 @register("ingest_json_stream", ACCEPTED, JSON_CTES)
@@ -56,12 +56,12 @@ def q_ingest_json_stream(spark, sf):
     # the CSV one on those fixture rows.
     # all three files in one micro-batch: ingest order is file, then row
     root = _run(spark, sf, "json", files_per_trigger=3)
-    return store.read_transactions(spark, root)
+    return store.read_transactions(spark, root, with_partitions=False)
 
 
 @register("ingest_stream_dedupe", ACCEPTED, CSV_CTES)
 def q_ingest_stream_dedupe(spark, sf):
-    return store.read_transactions(spark, _run(spark, sf, "csv", files_per_trigger=3, twice=True))
+    return store.read_transactions(spark, _run(spark, sf, "csv", files_per_trigger=3, twice=True), with_partitions=False)
 
 
 @register("ingest_stream_counters", """
@@ -73,4 +73,4 @@ SELECT CAST(count(*) AS BIGINT) AS total_rows,
        CAST(0 AS BIGINT) AS unresolved, CAST(3 AS BIGINT) AS batches
 FROM classified""", CSV_CTES)
 def q_ingest_stream_counters(spark, sf):
-    return store.running_counters(spark, _run(spark, sf, "csv"))
+    return store.running_counters(spark, _run(spark, sf, "csv"), with_partitions=False)

@@ -50,6 +50,8 @@ def checkpoint_root(spark: SparkSession) -> str:
         if current:
             sc.setCheckpointDir(current)
     if not current:
+        if not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         current = tempfile.mkdtemp(prefix="ledgerlake-ckpt-")
         sc.setCheckpointDir(current)
         current = sc.getCheckpointDir() or current

@@ -25,10 +25,26 @@ from pyspark.sql import types as T
 
 from .. import config as C
 
-CSV_WIDTH = 64          # positional columns read per CSV record
 ROW_BITS = 40           # row_key = file ordinal << 40 | row number
 
 
+def _row_key(file_no, row):
+    """Ingest order; fails loudly where the file ordinal would not fit."""
+    key = F.shiftleft(file_no.cast("bigint"), ROW_BITS) + row
+    return F.when(file_no < (1 << (63 - ROW_BITS)), key).otherwise(
+        F.raise_error(F.lit("too many files in one read for the row key")).cast("bigint"))
+
+
+def _header_width(spark: SparkSession, path: str | list[str]) -> int:
+    """Positional columns that hold the widest header of the files: the commas of
+    each file's first line, quoted ones too, so never too few."""
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"),
+        F.monotonically_increasing_id().alias("i"), F.regexp_count("value", F.lit(",")).alias("n"))
+    first = lines.groupBy("f").agg(F.min_by("n", F.struct("b", "i")).alias("n"))
+    return (first.agg(F.max("n")).first()[0] or 0) + 2
+
+
 def _numbered(df: DataFrame) -> DataFrame:
     """Adds ``source_file``, ``row_in_file`` (1-based record number) and
     ``_file_no`` (ordinal of the file in name order) with one aggregate over
@@ -59,7 +75,7 @@ def _file_ordinals(files: DataFrame) -> DataFrame:
 
 def read_csv_by_header(spark: SparkSession, path: str | list[str],
                        fields: tuple[str, ...] = C.INPUT_FIELDS,
-                       multi_line: bool = True, width: int = CSV_WIDTH) -> DataFrame:
+                       multi_line: bool = True, width: int | None = None) -> DataFrame:
     """All-string rows with ``source_file``, ``row_number`` (data rows from
     1, the header not counted) and ``row_key`` (file order, then row).
 
@@ -72,8 +88,12 @@ def read_csv_by_header(spark: SparkSession, path: str | list[str],
     blocks. Data rows then need one join with that one-row-per-block table:
     two passes over the input, no sort of the data. ``multi_line`` keeps
     quoted line breaks inside one record (each file is then read by one
-    task); turn it off for large files without them.
+    task); turn it off for large files without them. ``width`` is the number of
+    positional columns; by default the widest header decides. A header that does
+    not fit (a given width, a header with quoted line breaks) is an error,
+    whichever columns are selected.
     """
+    width = width or _header_width(spark, path)
     schema = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(width)])
     raw = (spark.read.schema(schema).option("header", False).option("multiLine", multi_line)
            .option("escape", '"').option("mode", "PERMISSIVE").csv(path))
@@ -99,18 +119,17 @@ def read_csv_by_header(spark: SparkSession, path: str | list[str],
         F.first("_h_full").over(per_file).alias("_full")))
     rows = (tagged.join(info, ["source_file", "_block"])
             .withColumn("row_in_file", F.col("_offset") + F.col("_mid") - F.col("_first") + 1)
-            .filter(F.col("row_in_file") > 1))
+            .filter(F.col("row_in_file") > 1)
+            # a header that fills every positional column may hide wanted fields
+            # beyond them: fail loudly rather than read them as missing
+            .filter(F.when(F.col("_full"), F.raise_error(F.concat(
+                F.lit(f"CSV header has {width} or more columns: "), F.col("source_file"))).cast("boolean"))
+                .otherwise(F.lit(True))))
     picked = [F.coalesce(F.when(F.col(f"_pos_{f}") > 0,
                                 F.element_at("_cells", F.col(f"_pos_{f}"))), F.lit("")).alias(f)
               for f in fields]
     row_number = (F.col("row_in_file") - 1).alias("row_number")
-    # a header that fills every positional column may hide wanted fields
-    # beyond them: fail loudly rather than read them as missing
-    too_wide = F.raise_error(F.concat(F.lit(f"CSV header has {width} or more columns: "),
-                                      F.col("source_file")))
-    row_key = F.when(F.col("_full"), too_wide.cast("bigint")).otherwise(
-        F.shiftleft(F.col("_file_no").cast("bigint"), ROW_BITS) + F.col("row_in_file") - 1
-    ).alias("row_key")
+    row_key = _row_key(F.col("_file_no"), F.col("row_in_file") - 1).alias("row_key")
     return rows.select("source_file", row_number, row_key, *picked)
 
 
@@ -142,8 +161,7 @@ def read_json_records(spark: SparkSession, path: str | list[str]) -> DataFrame:
     bad_date = F.col("transactionDate").isNotNull() & date.isNull()
     return rows.select(
         "source_file", F.col("row_in_file").alias("row_number"),
-        (F.shiftleft(F.col("_file_no").cast("bigint"), ROW_BITS) + F.col("row_in_file"))
-        .alias("row_key"),
+        _row_key(F.col("_file_no"), F.col("row_in_file")).alias("row_key"),
         "customerId", "transactionId", "transactionDate", "currency", "sourceChannel",
         date.alias("txn_date"), F.col("amount").alias("txn_amount"),
         F.when(bad_date, F.coalesce(F.col("_corrupt_record"), F.col("transactionDate")))

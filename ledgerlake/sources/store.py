@@ -7,15 +7,18 @@ Layout under one root folder::
     rejects/ingest_batch=<label>/part-*.parquet
     counters/ingest_batch=<label>/part-*.parquet
 
-Every ingest writes exactly one ``ingest_batch`` partition of each table,
-with dynamic partition overwrite, so replaying a batch rewrites its own
-partition instead of adding to it. Reads for duplicate detection exclude
-the batch's own label, so a replay does not see its own rows as stored.
+Every ingest writes exactly one ``ingest_batch`` folder of each table and
+replaces that folder as a whole, also when the new output is empty or covers
+other months, so a replay with corrected rows leaves no row of the earlier run.
+Customers are the exception: those a label created stay, since rows of other
+batches may refer to them. Labels and months are strings by schema, whatever
+they look like. Reads for duplicate detection exclude the batch's own label, so
+a replay does not see its own rows as stored.
 ``txn_month`` gives partition pruning to date-range queries (the operator
 adds the month predicate itself; Parquet does not derive it from the date).
-Rows are range-partitioned by (month, customer, id) before the write so
-files are sorted by customer within a month (row-group pruning for the
-customer page) and a hot customer is still spread over several files.
+Rows are range-partitioned and sorted by (month, customer, id) before the
+write (row-group pruning for the customer page), and a hot customer is still
+spread over several files.
 """
 
 from __future__ import annotations
@@ -44,26 +47,33 @@ CUSTOMER_SCHEMA = T.StructType([
 ])
 
 
+PARTITIONS = {"transactions": ("ingest_batch", "txn_month"), "customers": ("ingest_batch",)}
+
+
 def _path(root: str, table: str) -> str:
     return f"{root.rstrip('/')}/{table}"
 
 
 def _read(spark: SparkSession, root: str, table: str, schema: T.StructType,
           exclude_batch: str | None) -> DataFrame:
+    parts = [T.StructField(p, T.StringType()) for p in PARTITIONS[table]]
+    full = T.StructType([*schema.fields, *parts])
     try:
-        df = spark.read.parquet(_path(root, table))
-    except AnalysisException:
-        return spark.createDataFrame([], schema)
+        df = spark.read.schema(full).parquet(_path(root, table))
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":       # only a missing table is an empty store
+            raise
+        return spark.createDataFrame([], full)
     if exclude_batch is not None:
         df = df.filter(F.col("ingest_batch") != exclude_batch)
     return df
 
 
 def read_transactions(spark: SparkSession, root: str, exclude_batch: str | None = None,
-                      with_partitions: bool = False) -> DataFrame:
+                      with_partitions: bool = True) -> DataFrame:
+    """Stored rows; with their partition columns, so that the page filters prune months."""
     df = _read(spark, root, "transactions", TRANSACTION_SCHEMA, exclude_batch)
-    return df if with_partitions or "ingest_batch" not in df.columns \
-        else df.select(*TRANSACTION_COLUMNS)
+    return df if with_partitions else df.select(*TRANSACTION_COLUMNS)
 
 
 def read_customers(spark: SparkSession, root: str, exclude_batch: str | None = None) -> DataFrame:
@@ -75,32 +85,53 @@ def month_of(ts: str = "transaction_date") -> F.Column:
     return F.date_format(F.col(ts), "yyyy-MM")
 
 
-def _overwrite_batch(df: DataFrame, path: str, *partitions: str) -> None:
-    (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy(*partitions).parquet(path))
+def _label_path(root: str, table: str, batch: str) -> str:
+    """Folder of a label; characters that a partition folder cannot hold are escaped."""
+    safe = "".join(f"%{ord(c):02X}" if c in "\"#%'*/:=?\\{[]^" or ord(c) < 32 or ord(c) == 127 else c for c in batch)
+    return f"{_path(root, table)}/ingest_batch={safe}"
+
+
+def _overwrite_batch(df: DataFrame, root: str, table: str, batch: str, *partitions: str) -> None:
+    (df.write.mode("overwrite").option("partitionOverwriteMode", "static")
+     .partitionBy(*partitions).parquet(_label_path(root, table, batch)))
 
 
 def append_transactions(accepted: DataFrame, root: str, batch: str) -> None:
     """One path for any batch size; duplicates were removed upstream."""
-    out = (accepted.withColumns({"ingest_batch": F.lit(batch), "txn_month": month_of()})
-           .repartitionByRange("txn_month", "customer_id", "id"))
-    _overwrite_batch(out, _path(root, "transactions"), "ingest_batch", "txn_month")
+    order = ("txn_month", "customer_id", "id")
+    out = accepted.withColumn("txn_month", month_of()).repartitionByRange(*order).sortWithinPartitions(*order)
+    _overwrite_batch(out, root, "transactions", batch, "txn_month")
 
 
 def append_customers(created: DataFrame, root: str, batch: str) -> None:
-    _overwrite_batch(created.withColumn("ingest_batch", F.lit(batch)),
-                     _path(root, "customers"), "ingest_batch")
+    """The label's customers: those created now and those of an earlier run of the
+    label, which other batches may refer to. The union is staged first, because
+    the folder it reads from is the one that is replaced."""
+    from ..session import scratch_path
+
+    spark = created.sparkSession
+    old = _read(spark, root, "customers", CUSTOMER_SCHEMA, None).where(F.col("ingest_batch") == batch)
+    both = (old.select(*CUSTOMER_COLUMNS).unionByName(created.select(*CUSTOMER_COLUMNS))
+            .groupBy("id", "external_id").agg(F.min("created_at").alias("created_at")))
+    staged = scratch_path(spark, "customers")
+    both.write.parquet(staged)
+    _overwrite_batch(spark.read.schema(both.schema).parquet(staged), root, "customers", batch)
+    remove(spark, staged)
 
 
 def write_rejects(rejects: DataFrame, root: str, batch: str) -> None:
     """Rejected rows with their errors, kept as a table."""
-    _overwrite_batch(rejects.withColumn("ingest_batch", F.lit(batch)),
-                     _path(root, "rejects"), "ingest_batch")
+    _overwrite_batch(rejects, root, "rejects", batch)
 
 
 def write_counters(counters: DataFrame, root: str, batch: str) -> None:
-    _overwrite_batch(counters.withColumn("ingest_batch", F.lit(batch)),
-                     _path(root, "counters"), "ingest_batch")
+    _overwrite_batch(counters, root, "counters", batch)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a staged table that no later read needs."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def read_rejects(spark: SparkSession, root: str) -> DataFrame:

@@ -41,17 +41,18 @@ def ingest_stream(spark: SparkSession, input_dir: str, root: str, checkpoint: st
                   fmt: str = "csv", as_of: str | None = None, files_per_trigger: int = 1,
                   base_transactions: DataFrame | None = None,
                   base_customers: DataFrame | None = None,
-                  timeout_s: int | None = 600) -> None:
+                  timeout_s: int | None = None) -> None:
     """Run the stream until the input folder is drained (``availableNow``).
 
-    On a cluster, drop ``availableNow`` and keep the query running; the
-    per-batch function is the same.
+    There is no time limit unless ``timeout_s`` sets one. On a cluster, drop
+    ``availableNow`` and keep the query running; the per-batch function is the same.
     """
     if fmt not in ("csv", "json"):
         raise ValueError(f"unsupported format {fmt}")
     if files_per_trigger <= 0:
         raise ValueError("files_per_trigger must be greater than 0")
-    glob = "*.csv" if fmt == "csv" else "*.json"
+    # the extension counts in any case
+    glob = "*.[cC][sS][vV]" if fmt == "csv" else "*.[jJ][sS][oO][nN]"
     paths = (spark.readStream.format("binaryFile").schema(BINARY_FILE_SCHEMA)
              .option("pathGlobFilter", glob)
              .option("recursiveFileLookup", "true")
