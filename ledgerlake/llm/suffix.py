@@ -133,7 +133,7 @@ def suffix_array(buf: np.ndarray, depth: int = LENGTH) -> np.ndarray:
     """Suffixes in the order of their first ``depth`` bytes or more, by Larsson-Sadakane refinement."""
     n = len(buf)
     key = big_endian(buf)
-    sa = np.argsort(key, kind="stable")
+    sa = np.argsort(key)
     ranked = key[sa]
     edge = np.ones(n, bool)
     edge[1:] = ranked[1:] != ranked[:-1]
