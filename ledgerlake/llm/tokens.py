@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import functools
 import os
+import re
 import struct
 import zlib
 from array import array
@@ -40,15 +41,44 @@ from .stage import shared_dir, table
 END_ID = 0
 BLOCK_TOKENS = 1 << 20
 ROUNDS, PAIRS_A_ROUND, MIN_COUNT = 5, 2048, 8
-MEMO = 400_000
+MEMO, LONG_KEY = 400_000, 64
+_WIDE_GAP = re.compile(r" (?:\s|\Z)").search                  # a space with no sign right after it
+_WORD_GAP = re.compile(r" (?=\S)")
+_PLAIN_WORD = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]+)([!-/:-@]*)").fullmatch
+_SPACE_LETTER = "\u0120"                                   # how byte-level BPE writes a space
 _HEAD = struct.Struct("<4sIIIIQ")
 
 
+class Memo(dict):
+    """``make(key)`` remembered; when ``room`` is used up, only what was used lately stays.
+
+    Keys over ``LONG_KEY`` letters are made anew each time, so the size is bounded.
+    """
+
+    def __init__(self, make, room: int):
+        super().__init__()
+        self.make, self.room, self.before = make, room, {}
+
+    def __missing__(self, key: str) -> bytes:
+        got = self.before.get(key)
+        if got is None:
+            got = self.make(key)
+        if len(key) <= LONG_KEY:
+            if len(self) >= self.room:
+                self.before = dict(self)
+                self.clear()
+            self[key] = got
+        return got
+
+
 class Encoder:
-    """The tokenizer with a bounded memory of its pieces.
+    """The tokenizer with a bounded memory of words and of the pieces in them.
 
     Byte-level BPE never merges across the pieces that its pattern cuts, so a
     piece's ids can be kept; the library's merges run on each piece that is new.
+    The pattern always cuts before a space with a letter or sign after it, so a
+    text is first split there and known words need no pattern. A line break
+    between two signs is a piece of its own.
     """
 
     def __init__(self, path: str):
@@ -61,24 +91,42 @@ class Encoder:
         self.tok.encode_special_tokens = True
         self.vocab = self.tok.get_vocab_size()
         self.pieces = regex.compile(public_tokenizers.PATTERN).findall
-        self.memo: dict[str, bytes] = {}
         # byte-level BPE writes each byte as a letter: itself if printable, else the next one from 256 on
         plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
         rest = [b for b in range(256) if b not in plain]
         self.letters = {b: 256 + k for k, b in enumerate(rest)}
+        self.piece = Memo(self._merge, MEMO // 4)
+        self.head = Memo(self._cut, MEMO // 4)              # a word that no space precedes
+        self.word = Memo(self._cut_word, MEMO)              # a word after a space
+
+    def _merge(self, piece: str) -> bytes:
+        letters = piece.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.tok.model.tokenize(letters)]).tobytes()
+
+    def _cut_word(self, word: str) -> bytes:
+        plain = _PLAIN_WORD(word)
+        if plain is None:
+            line, _, more = word.partition("\n")
+            if line and more and not line[-1].isspace() and not more[0].isspace():
+                return self.word[line] + self.piece["\n"] + (self._cut(more) if "\n" in more else self.head[more])
+            return self._cut(" " + word)
+        letters, signs = plain.groups()
+        if signs:
+            return self.word[letters] + self.piece[signs]
+        if letters.isascii():
+            return array("I", [t.id for t in self.tok.model.tokenize(_SPACE_LETTER + letters)]).tobytes()
+        return self._merge(" " + letters)
+
+    def _cut(self, text: str) -> bytes:
+        return b"".join(map(self.piece.__getitem__, self.pieces(text)))
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text, ended with the end id."""
-        cut, memo = [self.pieces(t) for t in texts], self.memo
-        new = set().union(*cut).difference(memo)
-        if len(memo) + len(new) > MEMO:
-            memo.clear()
-            new = set().union(*cut)
-        merge, table = self.tok.model.tokenize, self.letters
-        for p in new:
-            memo[p] = array("I", [t.id for t in merge(p.encode().decode("latin-1").translate(table))]).tobytes()
-        end, get = np.array([END_ID], "<u4").tobytes(), memo.__getitem__
-        return [np.frombuffer(b"".join([*map(get, c), end]), "<u4") for c in cut]
+        end, out = np.array([END_ID], "<u4").tobytes(), []
+        for t in texts:
+            first, *more = _WORD_GAP.split(t) if _WIDE_GAP(t) else t.split(" ")
+            out.append(np.frombuffer(b"".join([self.head[first] if first else b"", *map(self.word.__getitem__, more), end]), "<u4"))
+        return out
 
 
 @functools.cache

@@ -84,6 +84,21 @@ def test_tokens_round_trip(spark, docs, empty):
         assert (block.doc(i) == p).all()
 
 
+def test_encoder_equals_the_library(monkeypatch):
+    import random
+
+    import public_tokenizers
+
+    monkeypatch.setattr(tokens, "MEMO", 40)              # memories turn over all the time
+    enc, r = tokens.Encoder(public_tokenizers.path("byte_bpe_50k.json")), random.Random(5)
+    bits = ["a", "b", "é", "ß", "ǅ", "中", "ª", "µ", "×", "́", "🎉", " ", " ", "  ", " '", "\n", "\n\n", "\t", "\r\n", "\x00", "\x1c", "\x85",
+            "\u00a0", "\u3000", ".", ",", "'s", "'", "'ll", "_", "-", "!", "1", "23", "²", "½", "<|endoftext|>", "word", "y" * 70]
+    texts = ["".join(r.choices(bits, k=r.randint(0, 12))) for _ in range(4000)]
+    for t, got in zip(texts, enc(texts)):
+        assert got.tolist() == enc.tok.encode(t, add_special_tokens=False).ids + [0], repr(t)
+    assert max(len(m) + len(m.before) for m in (enc.word, enc.piece, enc.head)) <= 80
+
+
 def test_near_duplicates(docs, empty):
     assert neardup.near_duplicates(empty).count() == 0
     got = collections.defaultdict(set)
