@@ -24,6 +24,17 @@ such an order, a pair meets in all the buckets it shares (13 at 0.8), and any
 chain of links is enough, so a few rounds join what belongs together. Rounds go
 on until one finds no link (three at least); each is linear in the entries.
 
+What is left then, the texts of buckets that still hold several components, is
+searched whole by a prefix filter. Shingles have one order, rare ones first. A
+text's prefix ends where the shingles from there on hold less than the
+threshold of its shingles and of its weight. The first common shingle of a
+linked pair stands in both prefixes: all common shingles follow it, and they
+hold at least the threshold of either text, by number for the set Jaccard and
+by weight for the probability Jaccard. So all pairs of different components
+that share a prefix shingle are verified, in blocks of bounded size. Alike
+texts have their common shingles behind the prefix unless these alone are the
+threshold of a text, so a family of forms gives few pairs, not its square.
+
 Defined results: null and empty texts and texts of white space have no words
 and belong to no pair; texts that are equal byte for byte share a class, empty
 ones too. Nodes are texts, not ids, so repeated ids or rows do no harm. A class
@@ -47,6 +58,7 @@ SLOTS, BANDS = 128, 32
 ROWS = SLOTS // BANDS
 THRESHOLD = 0.8
 SMALL, LEAST_ROUNDS = 8, 3
+RANKS, BLOCK = 1 << 20, 256              # slots of the shingle counts; rows of a block
 _STEP = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 _ID_BITS = np.uint64(42)                 # in a chunk: the document above, 42 bits of shingle below
 
@@ -187,6 +199,64 @@ def _ordered(a: str, b: str) -> list:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
+def _frequency(batches):
+    for b in batches:
+        n = np.bincount(np.frombuffer(b"".join(b.column("ids").to_pylist()), np.uint32) % RANKS, minlength=RANKS)
+        slot = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(slot.astype(np.int32)), pa.array(n[slot])], ["slot", "n"])
+
+
+def _prefixes(counts, threshold: float):
+    """A row for each shingle of a text's prefix; ``rest`` counts the shingles from it on."""
+    def run(batches):
+        for b in batches:
+            taken, rest, found = [], [], []
+            for raw, weight in zip(b.column("ids").to_pylist(), b.column("weights").to_pylist()):
+                x = np.frombuffer(raw, np.uint32)
+                order = np.lexsort((x, counts.value[x % RANKS]))
+                after = np.arange(len(x), 0, -1)
+                inside = after >= threshold * len(x) - 1e-9
+                if weight:
+                    mass = np.cumsum(np.frombuffer(weight, np.uint32)[order][::-1].astype(np.int64))[::-1]
+                    inside |= mass >= threshold * mass[0] - 1e-9
+                taken.append(int(inside.sum()))
+                rest.append(after[inside]), found.append(x[order[inside]])
+            row = np.repeat(np.arange(b.num_rows), taken)
+            size = np.array([len(r) // 4 for r in b.column("ids").to_pylist()], np.int32)
+            plain = np.array([not w for w in b.column("weights").to_pylist()], bool)
+            cat = lambda parts, t: np.concatenate([np.zeros(0, t), *parts]).astype(t)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(cat(found, np.int64)), b.column("node").take(pa.array(row)), b.column("comp").take(pa.array(row)),
+                 pa.array(size[row]), pa.array(cat(rest, np.int32)), pa.array(plain[row])],
+                ["shingle", "node", "comp", "size", "rest", "plain"])
+    return run
+
+
+def remaining(live: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """All pairs of texts of different components that may reach the threshold: a superset, none is left out."""
+    sc = live.sparkSession.sparkContext
+    texts = stage(live.select("node", "comp").distinct().join(sets.hint("merge"), "node"), "open")
+    seen = texts.select("ids").mapInArrow(_frequency, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(RANKS, np.int64)
+    counts[seen.column("slot").to_numpy()] = seen.column("n").to_numpy()
+    entry = stage(texts.mapInArrow(_prefixes(sc.broadcast(counts), threshold),
+                                   "shingle long, node binary, comp binary, size int, rest int, plain boolean"), "prefixes")
+    mixed = (entry.groupBy("shingle").agg(F.count("*").alias("n"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y")
+             .select("shingle", F.ceil(F.col("n") / BLOCK).cast("int").alias("k")))
+    cut = stage(entry.join(mixed.hint("merge"), "shingle").withColumn("own", F.expr("cast(pmod(xxhash64(node), k) as int)")), "cut")
+    # every two blocks of a shingle's rows meet once
+    part = (cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+            .withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("other", "k"))
+    both = part.alias("p").join(part.alias("q").hint("merge"), F.expr(
+        "p.shingle = q.shingle and p.i = q.i and p.j = q.j and p.node < q.node and p.comp != q.comp and (p.i = p.j or p.own != q.own)"))
+    # if the shingle is the first common one of two texts without repeats, the rests bound what they have in common
+    reach = F.least("p.rest", "q.rest") * (1 + threshold) >= threshold * (F.col("p.size") + F.col("q.size")) - 1e-6
+    pairs = stage(both.where(reach | ~(F.col("p.plain") & F.col("q.plain")))
+                  .select(F.col("p.node").alias("a"), F.col("q.node").alias("b")).distinct(), "pairs")
+    drop(texts, entry, cut)
+    return pairs
+
+
 def links(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
     """(verified links between text keys, components of those links)."""
     base = docs.select(text_key().alias("node"), "text")
@@ -231,6 +301,12 @@ def links(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, Dat
         new = stage(near.distinct().join(tested.hint("merge"), ["a", "b"], "left_anti"), "pairs")
         more = stage(verify(new, sets, threshold), "links")
         if turn >= LEAST_ROUNDS and not more.limit(1).count():
+            if live.limit(1).count():
+                last = remaining(live, sets, threshold)
+                rest = stage(verify(last.join(tested.hint("merge"), ["a", "b"], "left_anti"), sets, threshold), "links")
+                found, old = stage(found.union(rest), "links"), found
+                drop(last, rest, old, comp)
+                comp = components(found)
             drop(new, more, live, sets, score, tested)
             return found, comp
         found, old = stage(found.union(more), "links"), found
