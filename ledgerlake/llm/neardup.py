@@ -9,7 +9,10 @@
   later than the latest slot of its text. Two texts agree in a slot with their
   probability Jaccard similarity.
 * **Banding**: ``BANDS`` bands of ``ROWS`` slots (a pair at 0.8 shares a band
-  with probability 1 - 5e-8).
+  with probability 1 - 5e-8). Weighted signatures see probability Jaccard only,
+  so a text with a repeated shingle has the bands of a second signature with all
+  weights 1 beside them; for the other texts both signatures are one. That holds
+  the probability for the set Jaccard too.
 * **Verification** is exact, on the shingle multisets of both texts: the pair
   is linked if its probability Jaccard or its set Jaccard similarity reaches
   the threshold.
@@ -117,7 +120,7 @@ def band_keys(sig: np.ndarray, bands: int = BANDS) -> np.ndarray:
 
 def band_codes(sig: np.ndarray, bands: int = BANDS) -> np.ndarray:
     """16 bits of each slot of a band, first slot on top: orders texts by these slots."""
-    part = sig.reshape(len(sig), bands, -1)[:, :, :4] & np.uint64(0xFFFF)
+    part = sig.reshape(len(sig), bands, sig.shape[1] // bands)[:, :, :4] & np.uint64(0xFFFF)
     out = np.zeros(part.shape[:2], np.uint64)
     for j in range(part.shape[2]):
         out = (out << np.uint64(16)) | part[:, :, j]
@@ -125,15 +128,29 @@ def band_codes(sig: np.ndarray, bands: int = BANDS) -> np.ndarray:
 
 
 def _bands(batches):
+    """Band keys and codes of each text: BANDS of its signature, then BANDS of its unweighted one if it differs
+    (null where both have the same key)."""
     for b in batches:
         for c in chunks(b.column("text")):
             doc, ident, weight = shingles(c)
             sig = signatures(doc, ident, weight, len(c))
-            some = np.bincount(doc, minlength=len(c)) > 0
-            off = np.concatenate([[0], np.cumsum(some * BANDS)])
+            some = np.unique(doc)
+            repeated = np.unique(doc[weight > 1])
+            part = np.isin(doc, repeated)
+            plain = signatures(np.searchsorted(repeated, doc[part]), ident[part], np.ones(part.sum(), np.int64), len(repeated))
+            first, second = band_keys(sig), band_keys(plain)
+            order = np.argsort(np.repeat(np.concatenate([some, repeated]), BANDS), kind="stable")
+            keys = np.concatenate([first[some].ravel(), second.ravel()])[order]
+            known = np.concatenate([np.zeros(len(some) * BANDS, bool), (second == first[repeated]).ravel()])[order]
+            codes = np.concatenate([band_codes(sig)[some].ravel(), band_codes(plain).ravel()])[order]
+            n = np.zeros(len(c), np.int64)
+            n[some] += BANDS
+            n[repeated] += BANDS
+            off = np.concatenate([[0], np.cumsum(n)])
             yield pa.RecordBatch.from_arrays(
-                [b.column("node")[c.first:c.first + len(c)], list_array(band_keys(sig)[some].ravel(), off, pa.int64()),
-                 list_array(band_codes(sig)[some].ravel(), off, pa.int64())], ["node", "bands", "codes"])
+                [b.column("node")[c.first:c.first + len(c)],
+                 pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(keys, pa.int64(), mask=known)),
+                 list_array(codes, off, pa.int64())], ["node", "bands", "codes"])
 
 
 def _sets(batches):
@@ -262,8 +279,9 @@ def links(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, Dat
     base = docs.select(text_key().alias("node"), "text")
     sig = stage(base.mapInArrow(_bands, "node binary, bands array<long>, codes array<long>")
                 .groupBy("node").agg(F.first(F.struct("bands", "codes")).alias("s")).select("node", "s.*"), "bands")
-    entry = sig.select("node", "codes", F.posexplode("bands").alias("band", "bucket"))
-    later = [F.element_at("codes", ((F.col("band") + k) % BANDS + 1).cast("int")).alias(f"c{k}") for k in (1, 2, 3)]
+    entry = sig.select("node", "codes", F.posexplode("bands").alias("band", "bucket")).where("bucket is not null")
+    whole = F.col("band") - F.col("band") % BANDS          # where the band's signature begins
+    later = [F.element_at("codes", (whole + (F.col("band") + k) % BANDS + 1).cast("int")).alias(f"c{k}") for k in (1, 2, 3)]
     shared = stage(entry.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
     member = stage(entry.select("node", "bucket", *later).join(shared.hint("merge"), "bucket"), "members")
     score = member.groupBy("node").agg(F.sum("n").alias("score"))
