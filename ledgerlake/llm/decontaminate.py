@@ -1,15 +1,16 @@
 """Benchmark decontamination: edit-tolerant search for benchmark items in texts.
 
-* **Windows.** An item is found through its ``ANCHORS`` most telling words (rare
-  among the items, then long). Every place of a text where such a word stands
-  gives one item-sized window, aligned so that the word falls where the item
-  has it.
+* **Windows.** An item that may take k edits is cut into k + 1 pieces of bytes,
+  so at least one stands unchanged in every hit. Every place of a text where a
+  piece stands gives one item-sized window, aligned so that the piece falls
+  where the item has it. Pieces know no words, so unspaced scripts are like others.
 * **CGK embedding.** A window and its item walk the same random walk: at step
   j a copy of the current byte is written and the walk moves on by the random
   bit of (j, byte). Strings at edit distance d come out at Hamming distance
   O(d^2) with constant probability; ``WALKS`` independent walks are taken.
 * **Bit-sampling LSH.** From each walk ``TABLES`` samples of ``BITS`` positions
   are read; a window whose sample equals its item's in any table is a candidate.
+  So is, without a walk, a window that two pieces of the item agree on.
 * **Verification** is exact: the smallest edit distance between the item and
   any piece of the text around the window, by dynamic programming.
 
@@ -34,25 +35,26 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .arrays import NAME_WORDS, Chunk, chunks, mix, words
+from .arrays import NAME_WORDS, Chunk, chunks, mix, prefix_hash, span_hash
 from .stage import table
 
-ANCHORS = 10
-LEAST_ANCHORS, ANCHOR_BYTES = 8, 5      # beyond eight, only words of five bytes or more
 WALKS, TABLES, BITS = 4, 32, 5
 SHARE = 0.1
 BLOCK_ROWS, BLOCK_BYTES = 20_000, 8 << 20
 PAD = 256
 PART_BYTES = 4 << 20
+SIEVE = 1 << 20
 
 
 @dataclass(frozen=True)
 class Items:
     ids: list
     text: list[bytes]
-    hash: np.ndarray      # sorted anchor hashes
-    item: np.ndarray      # item of each anchor
-    at: np.ndarray        # byte offset of the anchor in its item
+    hash: np.ndarray      # sorted hashes of the pieces
+    item: np.ndarray      # item of each piece
+    at: np.ndarray        # byte offset of the piece in its item
+    size: np.ndarray      # its bytes
+    slack: np.ndarray     # edits that an item may take
 
     @property
     def longest(self) -> int:
@@ -63,40 +65,46 @@ def folded(column: pa.Array) -> pa.Array:
     return pc.utf8_lower(column)
 
 
-def prepare(ids: list, texts: list[str | None], anchors: int = ANCHORS) -> Items:
+def prepare(ids: list, texts: list[str | None], share: float = SHARE) -> Items:
     column = folded(pa.array([t or "" for t in texts], pa.string()))
     lower = [t.encode() for t in column.to_pylist()]
-    found = []
-    for c in chunks(column):
-        w = words(c, NAME_WORDS)
-        for i in range(len(c)):
-            s = slice(w.first[i], w.first[i + 1])
-            found.append((w.hash[s], w.start[s] - c.offsets[i], w.end[s] - w.start[s]))
-    seen, n = np.unique(np.concatenate([np.unique(h) for h, _, _ in found] or [np.zeros(0, np.uint64)]), return_counts=True)
-    hashes, items, ats = [], [], []
-    for i, (h, at, size) in enumerate(found):
-        _, one = np.unique(h, return_index=True)
-        common = n[np.searchsorted(seen, h[one])] if len(one) else one
-        best = one[np.lexsort((at[one], -size[one], common))][:anchors]
-        best = best[(np.arange(len(best)) < LEAST_ANCHORS) | (size[best] >= ANCHOR_BYTES)]
-        hashes.append(h[best]), ats.append(at[best]), items.append(np.full(len(best), i))
-    cat = lambda x, t: np.concatenate(x).astype(t) if x else np.zeros(0, t)
-    h = cat(hashes, np.uint64)
+    slack = np.array([int(share * len(t)) for t in lower], np.int64)
+    worded = [bool(NAME_WORDS[np.frombuffer(t, np.uint8)].any()) for t in lower]
+    n = np.where(worded, slack + 1, 0).astype(np.int64)
+    item = np.repeat(np.arange(len(lower)), n)
+    size = np.array([len(t) for t in lower], np.int64)[item] // n[item]
+    at = (np.arange(len(item)) - np.repeat(np.cumsum(n) - n, n)) * size
+    base = np.cumsum([0, *map(len, lower)])[item] + at
+    h = span_hash(prefix_hash(np.frombuffer(b"".join(lower), np.uint8)), base, base + size)
     order = np.argsort(h, kind="stable")
-    return Items(ids, lower, h[order], cat(items, np.int64)[order], cat(ats, np.int64)[order])
-
-
-def windows(c: Chunk, items: Items) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(document, item, aligned start in the chunk; may lie before the document)."""
-    w = words(c, NAME_WORDS)
-    lo, hi = np.searchsorted(items.hash, w.hash, "left"), np.searchsorted(items.hash, w.hash, "right")
-    n = hi - lo
-    hit = np.repeat(np.flatnonzero(n), n[n > 0])
-    k = np.arange(len(hit)) - np.repeat(np.cumsum(n[n > 0]) - n[n > 0], n[n > 0])
-    entry = lo[hit] + k
-    found = np.stack([w.doc[hit], items.item[entry], w.start[hit] - items.at[entry]], 1)
-    found = np.unique(found, axis=0) if len(found) else found.reshape(0, 3)
-    return found[:, 0], found[:, 1], found[:, 2]
+    return Items(ids, lower, h[order], item[order], at[order], size[order], slack)
+
+
+def windows(c: Chunk, items: Items) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(document, item, aligned start in the chunk; may lie before the document; whether two pieces agree)."""
+    sieve, prefix, rows = np.zeros(SIEVE, bool), prefix_hash(c.buf), []
+    sieve[items.hash % SIEVE] = True
+    for size in np.unique(items.size):
+        start = np.arange(max(len(c.buf) - size + 1, 0))
+        h = span_hash(prefix, start, start + size)
+        some = np.flatnonzero(sieve[h % SIEVE])
+        start, h = start[some], h[some]
+        doc = np.searchsorted(c.offsets, start, "right") - 1
+        lo, hi = np.searchsorted(items.hash, h, "left"), np.searchsorted(items.hash, h, "right")
+        n = np.where(start + size <= c.offsets[doc + 1], hi - lo, 0)
+        hit = np.repeat(np.arange(len(n)), n)
+        entry = lo[hit] + np.arange(len(hit)) - np.repeat(np.cumsum(n) - n, n)
+        rows.append(np.stack([doc[hit], items.item[entry], start[hit] - items.at[entry], items.at[entry]], 1))
+    found = np.concatenate([np.zeros((0, 4), np.int64), *rows])
+    found = found[np.lexsort(found.T[::-1])]
+    agree = np.zeros(len(found), bool)
+    if len(found):
+        a, b = found[:-1], found[1:]
+        near = (a[:, :2] == b[:, :2]).all(axis=1) & (b[:, 2] - a[:, 2] <= items.slack[a[:, 1]]) & (a[:, 3] != b[:, 3])
+        agree[:-1] |= near
+        agree[1:] |= near
+    found, which = np.unique(found[:, :3], axis=0, return_inverse=True)
+    return found[:, 0], found[:, 1], found[:, 2], np.bincount(which.ravel(), agree, len(found)) > 0
 
 
 def embed(rows: list[np.ndarray], seed: int) -> np.ndarray:
@@ -149,18 +157,19 @@ def search(column: pa.Array, items: Items, share: float = SHARE, seed: int = 5):
     keys = embed([np.frombuffer(t, np.uint8) for t in items.text], seed)
     for c in chunks(folded(column)):
         low = c.buf
-        doc, item, start = windows(c, items)
+        doc, item, start, sure = windows(c, items)
         order = np.argsort(np.array([len(t) for t in items.text], np.int64)[item], kind="stable")
-        doc, item, start = doc[order], item[order], start[order]     # alike sizes walk together
+        doc, item, start, sure = doc[order], item[order], start[order], sure[order]     # alike sizes walk together
         size = np.array([len(items.text[i]) for i in item], dtype=np.int64)
         begin, end = c.offsets[doc], c.offsets[doc + 1]
         lo, hi = np.maximum(start, begin), np.minimum(start + size, end)
         part = 0
         while part < len(doc):
             sl = slice(part, part + max(1, PART_BYTES // max(int(size[min(part + 4095, len(doc) - 1)]), 1024)))
-            got = embed([low[a:b] for a, b in zip(lo[sl], hi[sl])], seed)
-            exact = np.array([low[a:b].tobytes() == items.text[i] for a, b, i in zip(lo[sl], hi[sl], item[sl])])
-            like = exact | (got == keys[item[sl]]).any(axis=1)
+            like, rest = sure[sl].copy(), np.flatnonzero(~sure[sl]) + part
+            got = embed([low[a:b] for a, b in zip(lo[rest], hi[rest])], seed)
+            exact = np.array([low[a:b].tobytes() == items.text[i] for a, b, i in zip(lo[rest], hi[rest], item[rest])], bool)
+            like[rest - part] = exact | (got == keys[item[rest]]).any(axis=1)
             found, part = part + np.flatnonzero(like), part + len(like)
             for k in found:
                 t = items.text[item[k]]
@@ -215,7 +224,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFra
 
 def _hit_rows(ids, texts, share):
     def run(batches):
-        items = prepare(ids, texts)
+        items = prepare(ids, texts, share)
         for b in batches:
             best: dict = {}
             for doc, item, start, end, d in search(b.column("text"), items, share):
@@ -246,7 +255,7 @@ def stage_decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def _clean_rows(ids, texts, share):
     def run(batches):
-        items = prepare(ids, texts)
+        items = prepare(ids, texts, share)
         for b in batches:
             clean = np.ones(b.num_rows, bool)
             clean[[x[0] for x in search(b.column("text"), items, share)]] = False
