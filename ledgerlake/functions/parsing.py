@@ -108,9 +108,16 @@ def utc_now() -> Column:
 
 
 def parse_timestamp(s: Column) -> Column:
-    """Text -> timestamp_ntz (UTC), or null when outside the grammar."""
-    return F.coalesce(_iso_timestamp(s), _clock_timestamp(s, US_DATETIME, 3, 1, 2), _clock_timestamp(s, YMD_DATETIME, 1, 2, 3),
-                      _clock_timestamp(s, NAMED_DATETIME, 3, 2, 1), _rfc1123_timestamp(s))
+    """Text -> timestamp_ntz (UTC), or null when outside the grammar.
+
+    The forms besides ISO stand in a lambda: it is evaluated only where the ISO
+    form gives null, and its code is not generated into the projection, which
+    would grow beyond what the compiler takes (64 KB a method).
+    """
+    other = F.transform(F.array(s), lambda t: F.coalesce(
+        _clock_timestamp(t, US_DATETIME, 3, 1, 2), _clock_timestamp(t, YMD_DATETIME, 1, 2, 3),
+        _clock_timestamp(t, NAMED_DATETIME, 3, 2, 1), _rfc1123_timestamp(t)))
+    return F.coalesce(_iso_timestamp(s), other[0])
 
 
 def parse_amount(s: Column) -> Column:

@@ -49,3 +49,25 @@ def width_violations(tx: DataFrame, customers: DataFrame | None = None) -> DataF
 def customer_width_violations(customers: DataFrame) -> DataFrame:
     return customers.agg(F.count_if(F.length("external_id") > C.CUSTOMER_ID_MAX_LEN)
                          .alias("customer_id_too_long"))
+
+
+def label_duplicates(snap, label: str) -> DataFrame:
+    """C1 for one label of a store: its ids that occur twice in it, or in another label.
+
+    Reads the label's own ids and, through the id index, only what other labels
+    may hold of them, so a new label is audited at its own cost.
+    """
+    from . import id_index
+
+    ids = snap.read("ids", runs=[snap.place[snap.current[label]]]).where(F.col("ingest_batch") == label)
+    elsewhere = id_index.stored_ids(ids, id_index.STORED, snap, exclude_batch=label).withColumn("elsewhere", F.lit(True))
+    count = ids.groupBy(id_index.STORED).agg(F.count(F.lit(1)).cast("int").alias("occurrences"))
+    return (count.join(elsewhere, id_index.STORED, "left").withColumn("elsewhere", F.coalesce("elsewhere", F.lit(False)))
+            .where((F.col("occurrences") > 1) | F.col("elsewhere")))
+
+
+def label_orphans(snap, label: str) -> DataFrame:
+    """C3 for one label: its customers without a customer row, from the label's summaries."""
+    mine = snap.read("summaries", runs=[snap.place[snap.current[label]]]).where(F.col("ingest_batch") == label)
+    return (mine.groupBy("customer_id").agg(F.sum("txn_count").alias("transactions"))
+            .join(snap.read("customers").select(F.col("id").alias("customer_id")), "customer_id", "left_anti"))

@@ -40,11 +40,17 @@ def new_rows(batch: DataFrame, store: DataFrame, id_col: str = ID) -> DataFrame:
 
 def exists_flags(batch: DataFrame, store: DataFrame, id_col: str = ID) -> DataFrame:
     """Every batch row with a boolean ``exists`` (set-wise EXISTS per id)."""
-    hits = existing_ids(batch, store, id_col).withColumn("exists", F.lit(True))
+    hits = _own_exchange(existing_ids(batch, store, id_col), id_col).withColumn("exists", F.lit(True))
     return (batch.join(hits, id_col, "left")
             .withColumn("exists", F.coalesce(F.col("exists"), F.lit(False))))
 
 
+def _own_exchange(per_id: DataFrame, id_col: str) -> DataFrame:
+    """A per-id aggregate under a new key, so that a join onto it is one of two plain
+    shuffles: AQE splits a hot id's partition there, but not in a join onto an aggregate."""
+    return per_id.withColumn(id_col, F.concat(id_col, F.lit("")))
+
+
 ORDER_KEY = "row_key"
 
 
@@ -74,7 +80,7 @@ def first_occurrence(candidates: DataFrame, store: DataFrame | None,
 def mark_duplicates(valid: DataFrame, store: DataFrame | None,
                     order_col: str = ORDER_KEY, id_col: str = ID) -> DataFrame:
     """Adds ``dup_code``: null (first valid occurrence), dup_stored or dup_batch."""
-    owners = first_occurrence(valid, store, order_col, id_col)
+    owners = _own_exchange(first_occurrence(valid, store, order_col, id_col), id_col)
     code = (F.when(F.col("_owner") == -1, F.lit(C.ERR_DUP_STORED))
             .when(F.col("_owner") != F.col(order_col), F.lit(C.ERR_DUP_BATCH)))
     return (valid.join(owners, id_col, "inner").withColumn("dup_code", code)

@@ -5,8 +5,8 @@ returns every row with a ``status`` and its ``errors``; the accepted rows,
 the rejects, the new customers and the counters are all projections of
 that one frame. ``run_ingest`` materialises it once in the shared
 checkpoint folder (so a lost executor recomputes from that table, never
-from a store that has meanwhile been appended to) and then writes
-customers, transactions, rejects and counters, in that order.
+from a store that has meanwhile been appended to), writes customers,
+transactions, rejects and counters, and makes all of them visible by one commit.
 
 Precedence per row: invalid (any rule fails) > duplicate (id stored, or a
 valid row with the same id came earlier) > accepted. Customers are created
@@ -203,14 +203,14 @@ def run_ingest(batch: DataFrame, root: str, label: str, as_of: str | None = None
     loaded before this engine); they are read, never written. Returns the
     batch counters (one small row).
     """
+    from ..operators import id_index
     from ..session import scratch_path
     from ..sources import store
+    from ..sources.tables import CUSTOMER_COLUMNS
 
     spark = batch.sparkSession
-    tx = store.read_transactions(spark, root, exclude_batch=label, with_partitions=False)
-    cu = store.read_customers(spark, root, exclude_batch=label)
-    if base_transactions is not None:
-        tx = base_transactions.select(*tx.columns).unionByName(tx)
+    snap = store.snapshot(spark, root)
+    cu = snap.read("customers", exclude_batch=label).select(*CUSTOMER_COLUMNS)
     if base_customers is not None:
         cu = base_customers.select(*cu.columns).unionByName(cu)
     if as_of is None:
@@ -222,7 +222,12 @@ def run_ingest(batch: DataFrame, root: str, label: str, as_of: str | None = None
     validate = validate_typed_rows if typed else validate_text_rows
     checked = scratch_path(spark, "validated")
     validate(spread_for_cpu(batch, spread_tasks), as_of).write.parquet(checked)
-    result = classify_batch(spark.read.parquet(checked), tx, cu, as_of)
+    valid = spark.read.parquet(checked)
+    # which of the batch's ids are stored: through the id index, not by a scan of the history
+    stored = id_index.stored_ids(valid.where(is_valid()).select("transactionId"), "transactionId", snap, label)
+    if base_transactions is not None:
+        stored = base_transactions.select("external_transaction_id").unionByName(stored)
+    result = classify_batch(valid, stored, cu, as_of)
     # Cut the lineage: the classification is written once to shared
     # storage, and every output below is read from that table.
     staged = scratch_path(spark, "classified")
@@ -231,11 +236,14 @@ def run_ingest(batch: DataFrame, root: str, label: str, as_of: str | None = None
     classified = spark.read.parquet(staged)
     done = IngestResult(classified, as_of_literal(as_of), as_of)
 
-    store.append_customers(done.created_customers, root, label)
-    store.append_transactions(accepted_transactions(classified, as_of), root, label)
-    store.write_rejects(quarantine_rows(classified), root, label)
+    # nothing below is visible before the commit
+    run = store.Run(spark, root, label)
+    store.write_customers(run, done.created_customers)
+    run.transactions(accepted_transactions(classified, as_of))
+    store.write_rejects(run, quarantine_rows(classified))
     counters = ingest_counters(classified)
-    store.write_counters(counters, root, label)
+    store.write_counters(run, counters)
     out = counters.first().asDict()
+    run.commit()
     store.remove(spark, staged)
     return out

@@ -45,3 +45,18 @@ SELECT count(*) FILTER (WHERE length(external_transaction_id) > 255) AS txn_id_t
 FROM transactions""")
 def q_audit_widths(spark, sf):
     return audit.width_violations(tables.transactions(spark, sf))
+
+
+CUSTOMER_NOT_NULL = ("id", "external_id", "created_at")
+
+
+@register("audit_customer_nulls", "SELECT " + ", ".join(
+    f"count(*) FILTER (WHERE {c} IS NULL) AS {c}_nulls" for c in CUSTOMER_NOT_NULL) + " FROM customers")
+def q_audit_customer_nulls(spark, sf):
+    return audit.null_counts(tables.customers(spark, sf), CUSTOMER_NOT_NULL)
+
+
+@register("audit_customer_widths", """
+SELECT count(*) FILTER (WHERE length(external_id) > 100) AS customer_id_too_long FROM customers""")
+def q_audit_customer_widths(spark, sf):
+    return audit.customer_width_violations(tables.customers(spark, sf))

@@ -32,13 +32,19 @@ def events_batch(spark, sf):
         {"source_file": F.lit("events"), "row_key": F.col("row_number")})
 
 
+def spread_tasks(spark):
+    """Tasks to spread a batch over before validation, if the session sets them (its input may be one row group)."""
+    tasks = spark.conf.get("spark.ledgerlake.spreadTasks", None)
+    return int(tasks) if tasks else None
+
+
 def validated(spark, sf):
-    return validate_text_rows(ingest.spread_for_cpu(raw_batch(spark, sf), spark.sparkContext.defaultParallelism), AS_OF)
+    return validate_text_rows(ingest.spread_for_cpu(raw_batch(spark, sf), spread_tasks(spark)), AS_OF)
 
 
 def classified(spark, sf):
     return ingest.ingest_text_batch(raw_batch(spark, sf), tables.stored_transactions(spark, sf),
-                                    tables.customers(spark, sf), AS_OF, spark.sparkContext.defaultParallelism)
+                                    tables.customers(spark, sf), AS_OF, spread_tasks(spark))
 
 
 @register("validate_rows", """

@@ -91,3 +91,20 @@ def q_stats_grouping_sets(spark, sf):
 @register("stats_document")
 def q_stats_document(spark, sf):
     return stats.stats_document(tables.transactions(spark, sf))
+
+
+@register("stats_document_text", """
+SELECT (SELECT count(*) FROM transactions) AS total_transactions,
+       (SELECT string_agg(currency || ':' || n || ':' || total, ',' ORDER BY currency)
+        FROM (SELECT currency, count(*) AS n, CAST(sum(amount) AS DECIMAL(38,4)) AS total FROM transactions GROUP BY 1))
+         AS by_currency,
+       (SELECT string_agg(channel || ':' || n || ':' || total, ',' ORDER BY channel)
+        FROM (SELECT source_channel AS channel, count(*) AS n, CAST(sum(amount) AS DECIMAL(38,4)) AS total
+              FROM transactions GROUP BY 1)) AS by_channel""")
+def q_stats_document_text(spark, sf):
+    # A9 as text, so that the nested lists can be compared
+    def text(lists, key):
+        return F.array_join(F.transform(lists, lambda e: F.concat_ws(
+            ":", e[key], e["txn_count"].cast("string"), e["total_amount"].cast("string"))), ",").alias(lists)
+    doc = stats.stats_document(tables.transactions(spark, sf))
+    return doc.select("total_transactions", text("by_currency", "currency"), text("by_channel", "channel"))

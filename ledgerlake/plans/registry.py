@@ -33,7 +33,7 @@ def register(name: str, sql: str | None = None,
 
 def _load() -> None:
     # importing the modules registers their queries
-    from . import q_ingest, q_page, q_sources, q_stats, q_audit, q_stream  # noqa: F401
+    from . import q_ingest, q_page, q_sources, q_stats, q_audit, q_store, q_stream  # noqa: F401
 
 
 _load()

@@ -60,3 +60,10 @@ def test_page_total_is_an_aggregate_not_a_window(spark, capsys):
     plan = _plan(spark, capsys, "page_with_total")
     assert "Window" not in plan
     assert "partial_count" in plan
+
+
+def test_every_query_can_be_built(spark):
+    """Each registered query outside the optional ones is called once and has a schema."""
+    from ledgerlake.plans.registry import QUERIES
+    for name, query in QUERIES.items():
+        assert query(spark, SF).columns, name
