@@ -22,11 +22,24 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once and read it back; later jobs start from the written table."""
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def stage(df: DataFrame, name: str, rows_a_batch: int | None = None) -> DataFrame:
+    """Write ``df`` once and read it back; later jobs start from the written table.
+
+    ``rows_a_batch`` bounds the rows that reach a Python worker at once while it is
+    written: whole texts in batches of the usual size take much of an executor's memory.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    was = spark.conf.get(BATCH)
+    if rows_a_batch:
+        spark.conf.set(BATCH, str(rows_a_batch))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(BATCH, was)
     out = spark.read.schema(df.schema).parquet(path)
     out.staged_path = path
     return out

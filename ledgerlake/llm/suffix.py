@@ -37,7 +37,8 @@ from .arrays import Chunk, chunks, list_array, mix, prefix_hash, span_hash
 from .stage import drop, stage, table, text_key
 
 LENGTH, K = 200, 40
-SPLIT, SHARD_BYTES, SLOTS = 8192, 4 << 20, 16
+SPLIT, SHARD_BYTES = 8192, 1 << 19
+CHUNK, TEXTS = 1 << 18, 1024             # bytes of text hashed together; texts that reach a Python worker at once
 
 
 def sliding_argmin(h: np.ndarray, width: int) -> np.ndarray:
@@ -78,7 +79,7 @@ def records(c: Chunk) -> tuple[np.ndarray, ...]:
 
 def _anchors(batches):
     for b in batches:
-        for c in chunks(b.column("text")):
+        for c in chunks(b.column("text"), CHUNK):
             doc, _, _, h, _ = records(c)
             # a document names a hash once, with its number of places
             order = np.lexsort((h, doc))
@@ -93,7 +94,7 @@ def _candidates(batches):
     """Distinct records of a text under repeated hashes, with their places and bytes."""
     for b in batches:
         wanted, copies = b.column("hs"), b.column("copies").to_numpy()
-        for c in chunks(b.column("text")):
+        for c in chunks(b.column("text"), CHUNK):
             doc, first, last, h, rec = records(c)
             part = wanted.slice(c.first, len(c))
             sizes = np.diff(part.offsets.to_numpy())
@@ -133,11 +134,11 @@ def suffix_array(buf: np.ndarray, depth: int = LENGTH) -> np.ndarray:
     """Suffixes in the order of their first ``depth`` bytes or more, by Larsson-Sadakane refinement."""
     n = len(buf)
     key = big_endian(buf)
-    sa = np.argsort(key)
+    sa = np.argsort(key).astype(np.int32)
     ranked = key[sa]
     edge = np.ones(n, bool)
     edge[1:] = ranked[1:] != ranked[:-1]
-    rank = np.empty(n + 1, np.int64)
+    rank = np.empty(n + 1, np.int32)
     rank[n] = -1
     rank[sa] = np.maximum.accumulate(np.where(edge, np.arange(n), 0))
     h = 8
@@ -169,9 +170,9 @@ def kasai(buf: np.ndarray, order: np.ndarray, cap: int = LENGTH, strips: int = 4
     n = len(buf)
     wide = np.concatenate([buf, np.zeros(cap + 8, np.uint8)])
     word = big_endian(wide)
-    before = np.full(n, -1, np.int64)
+    before = np.full(n, -1, np.int32)
     before[order[1:]] = order[:-1]
-    out = np.zeros(n, np.int64)
+    out = np.zeros(n, np.int32)
     size = max(-(-n // strips), 1)
     lane = np.arange(0, n, size)
     for t in range(size):
@@ -217,52 +218,54 @@ def repeated_windows(bodies: list[bytes], n: np.ndarray) -> tuple[np.ndarray, np
     return owner[sa], at[sa], many[cls]
 
 
-def _shards(batches):
-    """Whole anchor groups, in order, a shard of about SHARD_BYTES at a time."""
-    rows, held, last = [], 0, None
-
-    def flush():
-        h = np.array([r[0] for r in rows], np.int64)
-        rec = np.array([r[1] for r in rows], np.int64)
-        n = np.array([r[2] for r in rows], np.int64)
-        salts = np.array([r[3] for r in rows], np.int64)
-        split = np.array([r[5] for r in rows], bool)
-        bodies = [r[4] for r in rows]
-        who, at, found = repeated_windows(bodies, n)
-        order = np.lexsort((at, who))
-        who, at, found = who[order], at[order], found[order]
-        # runs of found windows
-        w, a = who[found], at[found]
-        edge = np.ones(len(w), bool)
-        edge[1:] = (w[1:] != w[:-1]) | (a[1:] != a[:-1] + 1)
-        k = np.flatnonzero(edge)
-        end = a[np.append(k[1:] - 1, len(a) - 1)] if len(a) else a
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(h[w[k]]), pa.array(rec[w[k]]), pa.array(a[k].astype(np.int32)), pa.array((end + 1).astype(np.int32)),
-             pa.nulls(len(k), pa.int64()), pa.nulls(len(k), pa.int64())], ["h", "rec", "lo", "hi", "print", "shard"])
-        s = split[who]
-        if s.any():
-            w, a = who[s], at[s]
-            buf = np.frombuffer(b"".join(bodies), np.uint8)
-            begin = np.cumsum([0, *map(len, bodies)])[:-1]
-            p = begin[w] + a
-            prints = span_hash(prefix_hash(buf), p, p + LENGTH).view(np.int64)
-            for lo in range(0, len(w), 100_000):
-                z = slice(lo, lo + 100_000)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(h[w[z]]), pa.array(rec[w[z]]), pa.array(a[z].astype(np.int32)), pa.array((a[z] + 1).astype(np.int32)),
-                     pa.array(prints[z]), pa.array(salts[w[z]])], ["h", "rec", "lo", "hi", "print", "shard"])
-
-    for b in batches:
-        for r in zip(*(b.column(k).to_pylist() for k in ("h", "rec", "n", "salt", "body", "split"))):
-            if held >= SHARD_BYTES and (r[0], r[3]) != last:
-                yield from flush()
-                rows, held = [], 0
-            rows.append(r)
-            held += len(r[4])
-            last = (r[0], r[3])
-    if rows:
-        yield from flush()
+def _shards(size: int):
+    """Whole anchor groups, in order, a shard of about ``size`` bytes at a time."""
+    def run(batches):
+        rows, held, last = [], 0, None
+
+        def flush():
+            h = np.array([r[0] for r in rows], np.int64)
+            rec = np.array([r[1] for r in rows], np.int64)
+            n = np.array([r[2] for r in rows], np.int64)
+            salts = np.array([r[3] for r in rows], np.int64)
+            split = np.array([r[5] for r in rows], bool)
+            bodies = [r[4] for r in rows]
+            who, at, found = repeated_windows(bodies, n)
+            order = np.lexsort((at, who))
+            who, at, found = who[order], at[order], found[order]
+            # runs of found windows
+            w, a = who[found], at[found]
+            edge = np.ones(len(w), bool)
+            edge[1:] = (w[1:] != w[:-1]) | (a[1:] != a[:-1] + 1)
+            k = np.flatnonzero(edge)
+            end = a[np.append(k[1:] - 1, len(a) - 1)] if len(a) else a
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(h[w[k]]), pa.array(rec[w[k]]), pa.array(a[k].astype(np.int32)), pa.array((end + 1).astype(np.int32)),
+                 pa.nulls(len(k), pa.int64()), pa.nulls(len(k), pa.int64())], ["h", "rec", "lo", "hi", "print", "shard"])
+            s = split[who]
+            if s.any():
+                w, a = who[s], at[s]
+                buf = np.frombuffer(b"".join(bodies), np.uint8)
+                begin = np.cumsum([0, *map(len, bodies)])[:-1]
+                p = begin[w] + a
+                prints = span_hash(prefix_hash(buf), p, p + LENGTH).view(np.int64)
+                for lo in range(0, len(w), 100_000):
+                    z = slice(lo, lo + 100_000)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(h[w[z]]), pa.array(rec[w[z]]), pa.array(a[z].astype(np.int32)), pa.array((a[z] + 1).astype(np.int32)),
+                         pa.array(prints[z]), pa.array(salts[w[z]])], ["h", "rec", "lo", "hi", "print", "shard"])
+
+        for b in batches:
+            for r in zip(*(b.column(k).to_pylist() for k in ("h", "rec", "n", "salt", "body", "split"))):
+                if held >= size and (r[0], r[3]) != last:
+                    yield from flush()
+                    rows, held = [], 0
+                rows.append(r)
+                held += len(r[4])
+                last = (r[0], r[3])
+        if rows:
+            yield from flush()
+    return run
 
 
 def _merge(t: pa.Table) -> pa.Table:
@@ -303,19 +306,21 @@ def repeats(docs: DataFrame) -> DataFrame:
     """key, spans: byte ranges of each distinct text that lie in repeated windows (no row: none)."""
     base = docs.select(text_key().alias("key"), "text").where(F.octet_length("text") >= LENGTH)
     anchors = base.mapInArrow(_anchors, "key binary, h long, n long")
-    often = stage(anchors.groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h"), "hashes")
+    often = stage(anchors.groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h"), "hashes", TEXTS)
     wanted = anchors.join(often.hint("merge"), "h").groupBy("key").agg(F.collect_set("h").alias("hs"))
     texts = base.groupBy("key").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
     cand = stage(texts.join(wanted.hint("merge"), "key").mapInArrow(
-        _candidates, "key binary, h long, rec long, at array<int>, n long, body binary"), "records")
+        _candidates, "key binary, h long, rec long, at array<int>, n long, body binary"), "records", TEXTS)
     distinct = cand.groupBy("h", "rec").agg(F.sum("n").alias("n"), F.first("body").alias("body"))
     width = stage(cand.select("h", "rec").distinct().groupBy("h").agg(F.count("*").alias("records")), "widths")
     shard = (distinct.join(width.hint("merge"), "h")
              .withColumn("split", F.col("records") > SPLIT)
              .withColumn("salt", F.pmod(F.xxhash64("rec"), F.ceil(F.col("records") / SPLIT).cast("long"))))
     found = stage(shard.select("h", "salt", "rec", "n", "split", "body").repartition("h", "salt").sortWithinPartitions("h", "salt")
-                  .mapInArrow(_shards, "h long, rec long, lo int, hi int, print long, shard long"), "windows")
-    crossed = (found.where("print is not null").withColumn("slot", F.pmod("print", F.lit(SLOTS)))
+                  .mapInArrow(_shards(SHARD_BYTES), "h long, rec long, lo int, hi int, print long, shard long"), "windows")
+    # a record has at most LENGTH windows under a hash, so a slot holds a bounded number of them
+    crossed = (found.where("print is not null").join(width.hint("merge"), "h")
+               .withColumn("slot", F.pmod("print", F.ceil(F.col("records") / SPLIT).cast("long")))
                .groupBy("h", "slot").applyInArrow(_merge, "h long, rec long, lo int, hi int"))
     marks = (found.where("print is null").select("h", "rec", "lo", "hi").union(crossed)
              .groupBy("h", "rec").agg(F.collect_list(F.struct("lo", "hi")).alias("w")))

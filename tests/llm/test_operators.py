@@ -31,7 +31,10 @@ def empty(spark):
     return spark.createDataFrame([], SCHEMA)
 
 
-def test_suffix_repeats(docs, empty, monkeypatch):
+@pytest.mark.parametrize("split, shard", [(8192, 1 << 19), (2, 4000)])
+def test_suffix_repeats(docs, empty, monkeypatch, split, shard):
+    monkeypatch.setattr(suffix, "SPLIT", split)          # hashes with more records are split and merged across shards
+    monkeypatch.setattr(suffix, "SHARD_BYTES", shard)
     assert suffix.remove_repeats(empty).count() == 0
     raw = [(i, (t or "").encode()) for i, t in TEXTS]
     seen = collections.Counter(b[p:p + 200] for _, b in raw for p in range(len(b) - 199))
@@ -84,18 +87,29 @@ def test_tokens_round_trip(spark, docs, empty):
         assert (block.doc(i) == p).all()
 
 
+def test_repair_runs_until_no_pair_is_frequent():
+    ids = np.tile(np.random.default_rng(6).integers(1, 50000, 512), 400).astype(np.uint32)
+    symbols, _, rules = tokens.repair(ids, np.array([0, len(ids)]), 50257)
+    pair, n = np.unique(np.stack([symbols[:-1], symbols[1:]]), axis=1, return_counts=True)
+    assert len(symbols) <= 16 and not len(n) or n.max() < tokens.MIN_COUNT
+    assert tokens.expansion_lengths(rules, 50257)[symbols].sum() == len(ids)
+
+
 def test_encoder_equals_the_library(monkeypatch):
     import random
 
     import public_tokenizers
+    from tokenizers import Tokenizer
 
     monkeypatch.setattr(tokens, "MEMO", 40)              # memories turn over all the time
     enc, r = tokens.Encoder(public_tokenizers.path("byte_bpe_50k.json")), random.Random(5)
     bits = ["a", "b", "é", "ß", "ǅ", "中", "ª", "µ", "×", "́", "🎉", " ", " ", "  ", " '", "\n", "\n\n", "\t", "\r\n", "\x00", "\x1c", "\x85",
             "\u00a0", "\u3000", ".", ",", "'s", "'", "'ll", "_", "-", "!", "1", "23", "²", "½", "<|endoftext|>", "word", "y" * 70]
     texts = ["".join(r.choices(bits, k=r.randint(0, 12))) for _ in range(4000)]
+    plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))      # none of the encoder's settings
+    texts += ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|>x"]
     for t, got in zip(texts, enc(texts)):
-        assert got.tolist() == enc.tok.encode(t, add_special_tokens=False).ids + [0], repr(t)
+        assert got.tolist() == plain.encode(t, add_special_tokens=False).ids + [0], repr(t)
     assert max(len(m) + len(m.before) for m in (enc.word, enc.piece, enc.head)) <= 80
 
 
