@@ -17,7 +17,7 @@ store that Spark reads will do.
 
 Defined results: null and empty texts hold the end id alone. Rows are ordered
 by doc_id (null first), then by a hash of the text; repeated rows are kept.
-Strings that look like special tokens are ordinary text.
+Strings of special tokens become their ids, as the library does by default.
 """
 
 from __future__ import annotations
@@ -40,7 +40,7 @@ from .stage import shared_dir, table
 
 END_ID = 0
 BLOCK_TOKENS = 1 << 20
-ROUNDS, PAIRS_A_ROUND, MIN_COUNT = 5, 2048, 8
+PAIRS_A_ROUND, MIN_COUNT = 4096, 8
 MEMO, LONG_KEY = 400_000, 64
 _WIDE_GAP = re.compile(r" (?:\s|\Z)").search                  # a space with no sign right after it
 _WORD_GAP = re.compile(r" (?=\S)")
@@ -88,7 +88,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.vocab = self.tok.get_vocab_size()
         self.pieces = regex.compile(public_tokenizers.PATTERN).findall
         # byte-level BPE writes each byte as a letter: itself if printable, else the next one from 256 on
@@ -124,6 +124,9 @@ class Encoder:
         """Ids of each text, ended with the end id."""
         end, out = np.array([END_ID], "<u4").tobytes(), []
         for t in texts:
+            if any(s in t for s in self.special):
+                out.append(np.array([*self.tok.encode(t, add_special_tokens=False).ids, END_ID], "<u4"))
+                continue
             first, *more = _WORD_GAP.split(t) if _WIDE_GAP(t) else t.split(" ")
             out.append(np.frombuffer(b"".join([self.head[first] if first else b"", *map(self.word.__getitem__, more), end]), "<u4"))
         return out
@@ -135,7 +138,7 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def repair(ids: np.ndarray, ends: np.ndarray, vocab: int, rounds: int = ROUNDS, top: int = PAIRS_A_ROUND,
+def repair(ids: np.ndarray, ends: np.ndarray, vocab: int, top: int = PAIRS_A_ROUND,
            least: int = MIN_COUNT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(symbols, offsets of documents, rules). ``ends``: offsets of the documents in ``ids``."""
     narrow = vocab < 60_000
@@ -144,9 +147,7 @@ def repair(ids: np.ndarray, ends: np.ndarray, vocab: int, rounds: int = ROUNDS,
     seq, rules = ids.astype(kind), []
     closes = np.zeros(len(seq), bool)
     closes[ends[1:] - 1] = True
-    for _ in range(rounds):
-        if len(seq) < 2 or len(rules) >= room:
-            break
+    while len(seq) > 1 and len(rules) < room:
         key = (seq[:-1] << kind(shift)) | seq[1:]
         inner = ~closes[:-1]
         ranked = np.sort(key[inner])
