@@ -33,6 +33,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql import functions as F
 
 from .arrays import NAME_WORDS, Chunk, chunks, mix, prefix_hash, span_hash
@@ -217,14 +218,14 @@ def hits(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFra
     base = docs.select("doc_id", "text")
     out = None
     for ids, texts in blocks(benchmark):
-        part = base.mapInArrow(_hit_rows(ids, texts, share), schema)
+        part = base.mapInArrow(_hit_rows(pa.array(ids, to_arrow_type(benchmark.schema["item_id"].dataType)), texts, share), schema)
         out = part if out is None else out.union(part)
     return out if out is not None else docs.sparkSession.createDataFrame([], schema)
 
 
 def _hit_rows(ids, texts, share):
     def run(batches):
-        items = prepare(ids, texts, share)
+        items = prepare(ids.to_pylist(), texts, share)
         for b in batches:
             best: dict = {}
             for doc, item, start, end, d in search(b.column("text"), items, share):
@@ -233,7 +234,7 @@ def _hit_rows(ids, texts, share):
             rows = sorted(best)
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id").take(pa.array([r[0] for r in rows], pa.int64())),
-                 pa.array([ids[r[1]] for r in rows], pa.int64()),
+                 ids.take(pa.array([r[1] for r in rows], pa.int64())),
                  *(pa.array([best[r][k] for r in rows], pa.int64()) for k in range(4))],
                 ["doc_id", "item_id", "n_places", "distance", "first_byte", "end_byte"])
     return run

@@ -23,3 +23,12 @@ def test_unspaced_scripts():
     texts = [run(60) + t + run(60) for t in items] + [run(9) + t[:20] + run(1) + t[21:] + run(9) for t in items] + [run(200)]
     found = decontaminate.search(pa.array(texts), decontaminate.prepare(list(range(30)), items))
     assert {(d, i) for d, i, *_ in found} == {(k, k % 30) for k in range(60)}
+
+
+def test_item_ids_of_any_type(spark):
+    item = "the quick brown fox jumps over a lazy dog again and again"
+    docs = spark.createDataFrame([(1, f"so {item} it said"), (2, "nothing here"), (3, None)], "doc_id long, text string")
+    bench = spark.createDataFrame([("q1", item), (None, "something else entirely, of some length"), ("q3", None)], "item_id string, text string")
+    found = decontaminate.hits(docs, bench)
+    assert dict(found.dtypes)["item_id"] == "string"
+    assert [(r.doc_id, r.item_id, r.distance) for r in found.collect()] == [(1, "q1", 0)]
