@@ -17,10 +17,10 @@ def components(links: DataFrame) -> DataFrame:
     logarithmic number. Minima are combined before the shuffle, so a node with
     very many links costs its task no more rows than there are tasks.
     """
-    both = stage(links.select("a", "b").union(links.select(F.col("b"), F.col("a"))), "links")
-    label = stage(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("comp")), "comp")
+    both = stage(links.select("a", F.col("b").alias("far")).union(links.select(F.col("b"), F.col("a"))), "links")
+    label = stage(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("far"), F.first("a")).alias("comp")), "comp")
     while True:
-        near = (both.join(label.select(F.col("node").alias("b"), "comp"), "b")
+        near = (both.join(label.select(F.col("node").alias("far"), "comp"), "far")
                 .groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("near")))
         step = label.join(near, "node").select("node", "comp", F.least("comp", "near").alias("low"))
         up = label.select(F.col("node").alias("low"), F.col("comp").alias("up"))

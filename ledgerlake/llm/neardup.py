@@ -62,6 +62,7 @@ ROWS = SLOTS // BANDS
 THRESHOLD = 0.8
 SMALL, LEAST_ROUNDS = 8, 3
 RANKS, BLOCK = 1 << 20, 256              # slots of the shingle counts; rows of a block
+TEXTS = 1024                             # texts that reach a Python worker at once
 _STEP = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 _ID_BITS = np.uint64(42)                 # in a chunk: the document above, 42 bits of shingle below
 
@@ -274,11 +275,16 @@ def remaining(live: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return pairs
 
 
+def _star(comp: DataFrame) -> DataFrame:
+    """A link of each node to its component's name, in place of all links found so far."""
+    return comp.where("node != comp").select(F.col("node").alias("a"), F.col("comp").alias("b"))
+
+
 def links(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
     """(verified links between text keys, components of those links)."""
     base = docs.select(text_key().alias("node"), "text")
     sig = stage(base.mapInArrow(_bands, "node binary, bands array<long>, codes array<long>")
-                .groupBy("node").agg(F.first(F.struct("bands", "codes")).alias("s")).select("node", "s.*"), "bands")
+                .groupBy("node").agg(F.first(F.struct("bands", "codes")).alias("s")).select("node", "s.*"), "bands", TEXTS)
     entry = sig.select("node", "codes", F.posexplode("bands").alias("band", "bucket")).where("bucket is not null")
     whole = F.col("band") - F.col("band") % BANDS          # where the band's signature begins
     later = [F.element_at("codes", (whole + (F.col("band") + k) % BANDS + 1).cast("int")).alias(f"c{k}") for k in (1, 2, 3)]
@@ -287,7 +293,7 @@ def links(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, Dat
     score = member.groupBy("node").agg(F.sum("n").alias("score"))
     score = stage(score, "scores")
     sets = stage(base.join(score.select("node").hint("merge"), "node", "left_semi").mapInArrow(_sets, "node binary, ids binary, weights binary")
-                 .groupBy("node").agg(F.first(F.struct("ids", "weights")).alias("s")).select("node", "s.*"), "sets")
+                 .groupBy("node").agg(F.first(F.struct("ids", "weights")).alias("s")).select("node", "s.*"), "sets", TEXTS)
     drop(sig, shared)
 
     top = (member.select("node", "bucket").join(score.hint("merge"), "node")
@@ -296,9 +302,9 @@ def links(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, Dat
                   .select(*_ordered("node", "hub")).distinct(), "pairs")
     found = stage(verify(pairs, sets, threshold), "links")
     tested, live, turn = pairs, member, 0
+    comp = components(found)
     while True:
         turn += 1
-        comp = components(found)
         state = (live.drop("comp").join(comp.hint("merge"), "node", "left").withColumn("comp", F.coalesce("comp", "node")))
         mixed = state.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y").select("bucket")
         mixed = stage(mixed, "mixed")
@@ -323,13 +329,14 @@ def links(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, Dat
                 last = remaining(live, sets, threshold)
                 rest = stage(verify(last.join(tested.hint("merge"), ["a", "b"], "left_anti"), sets, threshold), "links")
                 found, old = stage(found.union(rest), "links"), found
-                drop(last, rest, old, comp)
-                comp = components(found)
+                comp, was = components(_star(comp).union(rest)), comp
+                drop(last, rest, old, was)
             drop(new, more, live, sets, score, tested)
             return found, comp
         found, old = stage(found.union(more), "links"), found
         tested, gone = stage(tested.union(new), "tested"), tested
-        drop(old, gone, new, more, comp)
+        comp, was = components(_star(comp).union(more)), comp
+        drop(old, gone, new, more, was)
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
