@@ -37,7 +37,7 @@ from .arrays import Chunk, chunks, list_array, mix, prefix_hash, span_hash
 from .stage import drop, stage, table, text_key
 
 LENGTH, K = 200, 40
-SPLIT, SHARD_BYTES = 8192, 1 << 19
+SPLIT, SHARD_BYTES = 8192, 1 << 18
 CHUNK, TEXTS = 1 << 18, 1024             # bytes of text hashed together; texts that reach a Python worker at once
 
 
@@ -150,7 +150,7 @@ def suffix_array(buf: np.ndarray, depth: int = LENGTH) -> np.ndarray:
         who = sa[live]
         ahead = rank[np.minimum(who + h, n)]
         group = rank[who]
-        order = np.lexsort((ahead, group))
+        order = np.argsort(group.astype(np.int64) << 32 | (ahead + 1))
         sa[live] = who[order]
         new = np.ones(len(live), bool)
         new[1:] = (ahead[order][1:] != ahead[order][:-1]) | (group[order][1:] != group[order][:-1])
@@ -305,12 +305,13 @@ def _remove(batches):
 def repeats(docs: DataFrame) -> DataFrame:
     """key, spans: byte ranges of each distinct text that lie in repeated windows (no row: none)."""
     base = docs.select(text_key().alias("key"), "text").where(F.octet_length("text") >= LENGTH)
-    anchors = base.mapInArrow(_anchors, "key binary, h long, n long")
-    often = stage(anchors.groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h"), "hashes", TEXTS)
+    anchors = stage(base.mapInArrow(_anchors, "key binary, h long, n long"), "anchors", TEXTS)
+    often = stage(anchors.groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h"), "hashes")
     wanted = anchors.join(often.hint("merge"), "h").groupBy("key").agg(F.collect_set("h").alias("hs"))
     texts = base.groupBy("key").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
     cand = stage(texts.join(wanted.hint("merge"), "key").mapInArrow(
         _candidates, "key binary, h long, rec long, at array<int>, n long, body binary"), "records", TEXTS)
+    drop(anchors)
     distinct = cand.groupBy("h", "rec").agg(F.sum("n").alias("n"), F.first("body").alias("body"))
     width = stage(cand.select("h", "rec").distinct().groupBy("h").agg(F.count("*").alias("records")), "widths")
     shard = (distinct.join(width.hint("merge"), "h")
