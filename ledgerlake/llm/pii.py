@@ -4,14 +4,15 @@
 offsets count code points. Possessive quantifiers match what the plain ones do
 without their recursion, so a text of one endless run is no problem.
 
-**The method** adds spans of kind ``other``. Candidates are runs of word and
-address characters from a digit or @ on that no base span overlaps. Three
+**The method** adds spans of kind ``other``. Candidates are what any labeler can
+vote for and no base span overlaps: runs of word and address characters with a
+digit or @, local phone numbers, key prefixes and titles with names. Three
 labelers vote yes, no or abstain on each: a *regex* labeler (shape), a
-*gazetteer* labeler (mail providers and key prefixes) and a *context* labeler
+*gazetteer* labeler (mail providers, key prefixes, titles) and a *context* labeler
 (the word before). Their votes are counted per pattern over all documents; the
 27 counts are all that expectation-maximisation needs to estimate the labelers'
 reliabilities. The posterior of each pattern then trains the final classifier,
-a naive Bayes model over span features, from counts per feature value and
+a naive Bayes model over span features and the first two votes, from counts per feature value and
 pattern. Only these tables of fixed size reach the driver.
 
 Defined results: null and empty texts have no spans; without candidates the
@@ -36,12 +37,18 @@ RULES = {
     "phone": "\\+[0-9][\\x20().0-9-]+[0-9]",
 }
 NEEDS = {"email": "@", "ip": ".", "card": "", "phone": "+"}
-CANDIDATE = "(?<![A-Za-z0-9+@._/=%-])[A-Za-z+._/=%-]{0,64}+[0-9@][A-Za-z0-9+@._/=%-]*+"
+TITLES = "(?:Mr|Mrs|Ms|Dr|Prof|Sr|Sra|Herr|Frau|Mme)\\.?\\x20"
+KEYS = "(?:sk|pk|ghp|gho|xox[abp])[_-]"
+LOCAL = "\\(?[0-9]{3}\\)?[\\x20.-][0-9]{3}[\\x20.-][0-9]{4}"
+RUN = "[A-Za-z0-9+@._/=%-]"
+#: Local phone numbers, titles with names, key prefixes, and runs with a digit or @.
+CANDIDATE = (f"(?<!{RUN})(?:{LOCAL}(?![A-Za-z0-9])|{TITLES}[A-Z][A-Za-z'-]++(?:\\x20[A-Z][A-Za-z'-]++)?"
+             f"|{KEYS}[A-Za-z0-9_-]{{16}}{RUN}*+|[A-Za-z+._/=%-]*+[0-9@]{RUN}*+)")
 PROVIDERS = "(?i)@[A-Za-z0-9.-]*(mail|example|yahoo|outlook|proton|icloud)"
 PREFIXES = "^(sk|pk|ghp|gho|xox[abp]|AKIA|ASIA|AIza|eyJ)[A-Za-z0-9_-]{8,}"
 CUES = ("token", "key", "apikey", "password", "passwd", "secret", "phone", "tel", "mobile", "fax", "mail", "email",
         "contact", "card", "account", "iban", "ssn", "passport", "id")
-FEATURES = ("size", "digits", "marks", "at", "cue")
+FEATURES = ("size", "digits", "marks", "at", "cue", "shape", "listed")
 BINS = 6
 
 
@@ -110,8 +117,9 @@ def votes(text, before):
     n = F.length(_digits(text))
     letters = F.length(F.regexp_replace(text, "[^A-Za-z]", ""))
     shape = F.when(text.rlike("[A-Za-z0-9]@[A-Za-z0-9]") | (n >= 8) | ((n >= 3) & (letters >= 3) & (F.length(text) >= 12)), 1)
-    shape = shape.when((n <= 3) & ~text.contains("@"), 0).otherwise(2)
-    names = F.when(text.rlike(PROVIDERS) | text.rlike(PREFIXES), 1).otherwise(2)
+    # a candidate without a digit or @ is there for a title or prefix: the shape says nothing
+    shape = shape.when((n >= 1) & (n <= 3) & ~text.contains("@"), 0).otherwise(2)
+    names = F.when(text.rlike(PROVIDERS) | text.rlike(PREFIXES) | text.rlike("^" + TITLES), 1).otherwise(2)
     cue = F.when(before.isin(*CUES), 1).when(before == "", 2).otherwise(0)
     return shape, names, cue
 
@@ -122,7 +130,7 @@ def features(text, before):
     size = F.length(text)
     return [cap(F.floor(F.log2(size))), cap(F.floor(F.length(_digits(text)) * 5 / size)),
             cap(F.length(F.regexp_replace(text, "[A-Za-z0-9]", ""))), F.when(text.rlike("[A-Za-z0-9]@[A-Za-z0-9]"), 1).otherwise(0),
-            F.when(before.isin(*CUES), 2).when(before == "", 1).otherwise(0)]
+            F.when(before.isin(*CUES), 2).when(before == "", 1).otherwise(0), *votes(text, before)[:2]]
 
 
 def estimate(counts: dict[tuple[int, int, int], int], rounds: int = 50) -> dict[tuple[int, int, int], float]:
@@ -157,7 +165,7 @@ def train(candidates: DataFrame) -> tuple[float, list[list[float]]] | None:
     f = features(F.col("text"), F.col("before"))
     v = votes(F.col("text"), F.col("before"))
     rows = candidates.select(F.array(*[x.cast("int") for x in v]).alias("v"), F.posexplode(F.array(*f)).alias("f", "bin"))
-    got = rows.groupBy("v", "f", "bin").agg(F.count("*").alias("n")).collect()          # at most 27 x 5 x 6 rows
+    got = rows.groupBy("v", "f", "bin").agg(F.count("*").alias("n")).collect()          # at most 27 x 7 x 6 rows
     counts: dict = {}
     for r in got:
         if r["f"] == 0:
