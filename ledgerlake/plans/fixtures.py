@@ -2,7 +2,8 @@
 
 The file sources and the streaming ingest need files to read; these are
 written from the (whole) ``raw_transactions`` / ``raw_events`` frames. Each
-split is one ordered file so that per-file row numbers are well defined.
+file holds a range of a split's rows in order, so that per-file row numbers are
+well defined and no task writes more than ``ROWS_A_FILE`` rows of a file.
 """
 
 from __future__ import annotations
@@ -30,29 +31,39 @@ FULL_LAYOUTS = (
 )
 
 
+ROWS_A_FILE = 100_000
+
+
+def _bounded_files(raw: DataFrame, split: int) -> DataFrame:
+    """Rows of one split, so partitioned and sorted that each ``block`` of them (at most
+    ``ROWS_A_FILE`` rows, in row order) is written as one file by one task."""
+    block = F.lpad(F.floor(F.col("row_number") / (3 * ROWS_A_FILE)).cast("string"), 9, "0")
+    return (raw.filter(F.col("row_number") % 3 == split).withColumn("block", block)
+            .repartition("block").sortWithinPartitions("block", "row_number"))
+
+
 def write_csv_splits(raw: DataFrame, label: str = "csv",
                      layouts: tuple[list[str], ...] = LAYOUTS) -> str:
-    """Three CSV files (split on row_number % 3), each with its own header layout."""
+    """CSV files of bounded rows in three splits (row_number % 3), each with its own header layout."""
     spark = raw.sparkSession
     out = scratch_path(spark, label)
     for i, layout in enumerate(layouts):
-        part = raw.filter(F.col("row_number") % 3 == i).withColumn("note", F.lit("x"))
-        (part.orderBy("row_number").select(*layout).coalesce(1)
-         .write.option("header", True).option("escape", '"')
+        part = _bounded_files(raw.withColumn("note", F.lit("x")), i)
+        (part.select("block", *layout).write.partitionBy("block")
+         .option("header", True).option("escape", '"')
          .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
          .csv(f"{out}/split={i}"))
     return out
 
 
 def write_json_splits(raw: DataFrame, label: str = "json") -> str:
-    """Three JSON-lines files; the amount is written as a JSON number."""
+    """JSON-lines files of bounded rows in three splits; the amount is written as a JSON number."""
     spark = raw.sparkSession
     out = scratch_path(spark, label)
     for i in range(3):
-        part = raw.filter(F.col("row_number") % 3 == i)
-        (part.orderBy("row_number")
-         .select("customerId", "transactionId", "transactionDate",
+        (_bounded_files(raw, i)
+         .select("block", "customerId", "transactionId", "transactionDate",
                  F.col("amount").try_cast("decimal(38,10)").alias("amount"),
                  "currency", "sourceChannel")
-         .coalesce(1).write.json(f"{out}/split={i}"))
+         .write.partitionBy("block").json(f"{out}/split={i}"))
     return out

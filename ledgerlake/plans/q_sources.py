@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..sources import files, tables
-from .fixtures import write_csv_splits, write_json_splits
+from ..sources import csv_split, files, tables
+from .fixtures import ROWS_A_FILE, write_csv_splits, write_json_splits
 from .registry import register
 
-SPLIT_ROW = "row_number() OVER (PARTITION BY row_number % 3 ORDER BY row_number)"
+SPLIT_ROW = (f"row_number() OVER (PARTITION BY row_number % 3, row_number // {3 * ROWS_A_FILE} "
+             "ORDER BY row_number)")
 
 
 @register("scan_transactions", "SELECT * FROM transactions")
@@ -31,6 +32,22 @@ def q_scan_csv_by_header(spark, sf):
     return df.drop("source_file", "row_key")
 
 
+BROKEN = """CASE WHEN row_number % 7 = 0 THEN chr(10) || 'a "quoted"' || chr(10) || chr(10) || ', line'
+                 WHEN row_number % 11 = 0 THEN '"' || chr(13) || chr(10) ELSE '' END"""
+
+
+@register("scan_csv_quoted_breaks", f"""
+SELECT {SPLIT_ROW} AS row_number, customerId || {BROKEN} AS customerId, transactionId, transactionDate,
+       amount, currency, CASE WHEN row_number % 3 = 2 THEN '' ELSE sourceChannel END AS sourceChannel
+FROM raw_transactions""")
+def q_scan_csv_quoted_breaks(spark, sf):
+    # fields with line breaks, empty lines, quotes and commas; files are read block by block
+    raw = tables.raw_transactions(spark, sf).withColumn(
+        "customerId", F.concat("customerId", F.expr(BROKEN)))
+    path = write_csv_splits(raw, "csv-breaks")
+    return csv_split.read_csv_split(spark, path).drop("source_file", "row_key")
+
+
 @register("row_numbers", f"""
 SELECT transactionId, {SPLIT_ROW} AS row_number FROM raw_transactions""")
 def q_row_numbers(spark, sf):

@@ -2,7 +2,7 @@
 
 import os
 
-from ledgerlake.sources import files
+from ledgerlake.sources import csv_split, files
 from ledgerlake.sources.inline import chunked_parallel_arrays, unnest_parallel_arrays
 
 
@@ -98,3 +98,61 @@ def test_csv_header_wider_than_read_width_fails(spark, tmp_dir):
         files.read_csv_by_header(spark, d, width=8).collect()
     ok = files.read_csv_by_header(spark, d, width=16).collect()
     assert ok[0].customerId == "v"
+
+
+BREAKS = ['plain', '"a\nb"', '"x ""y""\n\n, z"', '"cr\r\nlf"', '""', '"comma, here"', '" \n"']
+
+
+def broken_csv(rows, end="\n"):
+    lines = ["note,transactionId,customerId"]
+    lines += [f"{BREAKS[i % len(BREAKS)]},T{i},\"C\n{'z' * (i % 50)}{i}\"" for i in range(1, rows + 1)]
+    return end.join(lines) + end
+
+
+def test_csv_blocks_equal_the_one_task_reader(spark, tmp_dir):
+    d = f"{tmp_dir}/split"
+    write(f"{d}/a.csv", broken_csv(3000), "w")
+    with open(f"{d}/b.csv", "w", newline="") as f:
+        f.write(broken_csv(500, "\r\n").replace("T7,", "T7,,,") + "\r\n\r\nlast,Tlast,\"end\"")
+    write(f"{d}/c.csv", "customerId,transactionId\n")
+    write(f"{d}/empty.csv", "")
+    wanted = ("customerId", "transactionId", "note", "missing")
+
+    def rows(df):                                      # the one-task reader turns CR LF in a field into LF
+        return sorted(tuple(v.replace("\r\n", "\n") if isinstance(v, str) else v for v in r) for r in df.collect())
+
+    whole = rows(files.read_csv_by_header(spark, d, wanted))
+    assert len(whole) == 3501
+    split = csv_split.read_csv_split(spark, d, wanted)
+    assert rows(split) == whole
+    assert split.filter("endswith(source_file, 'b.csv') and contains(note, '\r\n')").count() > 0
+    for size in ("997", "20000"):                      # breaks, and CR LF pairs, across many block borders
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        try:
+            blocks = spark.read.text(f"{d}/a.csv").select("_metadata.file_block_start").distinct().count()
+            assert blocks > 3
+            assert rows(csv_split.read_csv_split(spark, d, wanted, width=8)) == whole
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+            spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_csv_blocks_share_one_exchange(spark, tmp_dir):
+    d = f"{tmp_dir}/plan"
+    write(f"{d}/a.csv", broken_csv(300))
+    df = csv_split.read_csv_split(spark, d, width=5)
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("FileScan text") == 1 and "ReusedExchange" in plan
+
+
+def test_csv_blocks_refuse_what_would_swallow_a_file(spark, tmp_dir):
+    import pytest
+    for name, text, message in (
+            ("open", 'customerId,transactionId\nC1,"T1\nC2,T2\n', "never closed"),
+            ("head", 'customerId,"trans\nactionId"\nC1,T1\n', "header over several lines"),
+            ("wide", "a,b,c,d,e,f,customerId\n1,2,3,4,5,6,7\n", "5 or more columns")):
+        write(f"{tmp_dir}/{name}/x.csv", text)
+        with pytest.raises(Exception, match=message):
+            csv_split.read_csv_split(spark, f"{tmp_dir}/{name}", width=5).collect()
