@@ -67,3 +67,21 @@ def write_json_splits(raw: DataFrame, label: str = "json") -> str:
                  "currency", "sourceChannel")
          .write.partitionBy("block").json(f"{out}/split={i}"))
     return out
+
+
+UPLOAD_ROWS, UPLOAD_LINE = 3000, 21      # row numbers a file covers, bytes of each of its lines
+
+
+def write_uploads(raw: DataFrame) -> str:
+    """A folder of uploads to admit or refuse: ``kind=csv``, ``kind=txt`` (foreign) and
+    ``kind=empty``, a zero-length file; a file holds ``UPLOAD_LINE`` bytes a row."""
+    spark = raw.sparkSession
+    out = scratch_path(spark, "uploads")
+    rows = raw.select(F.floor(F.col("row_number") / UPLOAD_ROWS).alias("block"), "row_number",
+                      F.lpad(F.col("row_number").cast("string"), UPLOAD_LINE - 1, "0").alias("line"))
+    csv = rows.filter("row_number % 3 > 0").repartition("block").sortWithinPartitions("block")
+    csv.select("block", "line").write.partitionBy("block").csv(f"{out}/kind=csv")
+    foreign = rows.filter("row_number % 3 = 0").repartition("block").sortWithinPartitions("block")
+    foreign.select("block", "line").write.partitionBy("block").text(f"{out}/kind=txt")
+    rows.filter("false").select("line").coalesce(1).write.csv(f"{out}/kind=empty/block=0")
+    return out

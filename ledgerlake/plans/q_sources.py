@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..sources import csv_split, files, tables
-from .fixtures import ROWS_A_FILE, write_csv_splits, write_json_splits
+from .fixtures import (
+    ROWS_A_FILE, UPLOAD_LINE, UPLOAD_ROWS, write_csv_splits, write_json_splits, write_uploads)
 from .registry import register
 
 SPLIT_ROW = (f"row_number() OVER (PARTITION BY row_number % 3, row_number // {3 * ROWS_A_FILE} "
@@ -66,10 +67,22 @@ def q_scan_json_records(spark, sf):
         "row_number", "customerId", "transactionId", "txn_amount", "currency", "sourceChannel")
 
 
-@register("admit_files")
+MAX_UPLOAD = UPLOAD_LINE * (UPLOAD_ROWS // 2)
+
+
+@register("admit_files", f"""
+SELECT kind, block, length, CASE WHEN kind = 'txt' THEN 'not_csv' WHEN length > {MAX_UPLOAD} THEN 'too_large' END AS reason,
+       kind = 'csv' AND length <= {MAX_UPLOAD} AS admitted
+FROM (SELECT CASE WHEN row_number % 3 > 0 THEN 'csv' ELSE 'txt' END AS kind,
+             CAST(row_number // {UPLOAD_ROWS} AS BIGINT) AS block, CAST(count(*) * {UPLOAD_LINE} AS BIGINT) AS length
+      FROM raw_transactions GROUP BY 1, 2)
+UNION ALL SELECT 'empty', CAST(0 AS BIGINT), CAST(0 AS BIGINT), 'empty', false""")
 def q_admit_files(spark, sf):
-    # every table file of the scale directory: all are refused as not CSV
-    return files.admit_files(spark, sf)
+    # csv files within and over the size cap, foreign files and an empty file
+    admitted = files.admit_files(spark, write_uploads(tables.raw_transactions(spark, sf)), MAX_UPLOAD)
+    return admitted.select(
+        F.regexp_extract("path", "kind=([a-z]+)", 1).alias("kind"),
+        F.regexp_extract("path", "block=([0-9]+)", 1).cast("bigint").alias("block"), "length", "reason", "admitted")
 
 
 @register("unnest_parallel_arrays", "SELECT * FROM customers")

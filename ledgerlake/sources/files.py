@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import config as C
+from .listing import list_files
 
 ROW_BITS = 40           # row_key = file ordinal << 40 | row number
 
@@ -168,18 +169,17 @@ def read_json_records(spark: SparkSession, path: str | list[str]) -> DataFrame:
         .otherwise(F.col("_corrupt_record")).alias("_corrupt_record"))
 
 
-def admit_files(spark: SparkSession, path: str, max_bytes: int | None = None) -> DataFrame:
+def admit_files(spark: SparkSession, path: str | list[str], max_bytes: int | None = None,
+                extension: str = ".csv") -> DataFrame:
     """S3: one row per file with ``admitted`` and a ``reason``.
 
-    Only path and length are selected, so file contents are never read.
-    The size cap is off unless given (the original's cap was an HTTP limit).
-    Zero-length files are skipped by Spark's file listing itself, so they
-    never appear here and never contribute rows; the ``empty`` reason covers
-    listings that do pass them through.
+    Files are listed, never opened; zero-length files are listed too (see
+    ``listing``). The size cap is off unless given (the original's cap was an
+    HTTP limit). The extension counts in any case of letters.
     """
-    files = spark.read.format("binaryFile").load(path).select("path", "length")
+    files = list_files(spark, path).select("path", "length")
     reason = (F.when(F.col("length") == 0, F.lit("empty"))
-              .when(~F.lower(F.col("path")).endswith(".csv"), F.lit("not_csv")))
+              .when(~F.lower(F.col("path")).endswith(extension), F.lit("not_" + extension.lstrip("."))))
     if max_bytes is not None:
         reason = reason.when(F.col("length") > max_bytes, F.lit("too_large"))
     return files.select("path", "length", reason.alias("reason"),

@@ -41,9 +41,12 @@ def ingest_stream(spark: SparkSession, input_dir: str, root: str, checkpoint: st
                   fmt: str = "csv", as_of: str | None = None, files_per_trigger: int = 1,
                   base_transactions: DataFrame | None = None,
                   base_customers: DataFrame | None = None,
-                  timeout_s: int | None = None) -> None:
+                  timeout_s: int | None = None, max_bytes: int | None = None) -> None:
     """Run the stream until the input folder is drained (``availableNow``).
 
+    Files of another extension, empty ones and, if ``max_bytes`` is given, longer ones
+    are never read; ``files.admit_files`` over the folder lists them with the reason.
+
     There is no time limit unless ``timeout_s`` sets one. On a cluster, drop
     ``availableNow`` and keep the query running; the per-batch function is the same.
     """
@@ -63,7 +66,10 @@ def ingest_stream(spark: SparkSession, input_dir: str, root: str, checkpoint: st
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
         # the file list of one micro-batch: bounded by maxFilesPerTrigger
-        names = [r.path for r in batch.filter(F.col("length") > 0).select("path").collect()]
+        fits = F.col("length") > 0
+        if max_bytes is not None:
+            fits &= F.col("length") <= max_bytes
+        names = [r.path for r in batch.filter(fits).select("path").collect()]
         if not names:
             return
         reader: Callable = files.read_csv_by_header if fmt == "csv" else files.read_json_records

@@ -69,13 +69,18 @@ def test_admit_files(spark, tmp_dir):
     write(f"{d}/ok.CSV", "a\n1\n")
     write(f"{d}/empty.csv", "")
     write(f"{d}/notes.txt", "x\n")
+    write(f"{d}/_SUCCESS", "")
+    write(f"{d}/sub/.hidden.csv", "x\n")
     got = {os.path.basename(r.path): (r.admitted, r.reason)
            for r in files.admit_files(spark, d, max_bytes=3).collect()}
-    # Spark's file sources skip zero-length files before any task runs, so an
-    # empty upload never reaches admission (and contributes no rows).
-    assert got == {"ok.CSV": (False, "too_large"), "notes.txt": (False, "not_csv")}
+    assert got == {"ok.CSV": (False, "too_large"), "notes.txt": (False, "not_csv"), "empty.csv": (False, "empty")}
     ok = files.admit_files(spark, d).filter("admitted").collect()
     assert [os.path.basename(r.path) for r in ok] == ["ok.CSV"]
+    # paths are as Spark's own sources write them, so they can be joined with a stream's
+    read = spark.read.text(d).select("_metadata.file_path").distinct().collect()
+    listed = {r.path for r in files.admit_files(spark, ["file:" + d, f"{d}/nowhere"]).collect()}
+    assert {r.file_path.replace("file:///", "file:/") for r in read} <= listed
+    assert files.admit_files(spark, []).count() == 0
 
 
 def test_unnest_parallel_arrays(spark):
