@@ -39,3 +39,18 @@ def test_stream_equals_batch_and_replay_is_noop(spark):
     totals = store.running_counters(spark, root).first()
     assert totals.batches == 4 and totals.total_rows == 2 * raw.count()
     assert totals.accepted == len(first)
+
+
+def test_stream_reads_only_files_of_admitted_size(spark, tmp_path, monkeypatch):
+    from ledgerlake.streaming import ingest_stream as module
+    for name, text in (("small.csv", "customerId,transactionId\nC,T\n"), ("big.CSV", "customerId\n" + "C\n" * 99),
+                       ("empty.csv", ""), ("other.txt", "customerId\nC\n")):
+        (tmp_path / name).write_text(text)
+    seen = []
+    monkeypatch.setattr(module, "run_ingest", lambda rows, *a, **k: seen.extend(
+        r.source_file.rsplit("/", 1)[1] for r in rows.select("source_file").distinct().collect()))
+    for cap in (50, None):
+        module.ingest_stream(spark, str(tmp_path), "unused", scratch_path(spark, "ck"), files_per_trigger=9, max_bytes=cap)
+    assert sorted(seen) == ["big.CSV", "small.csv", "small.csv"]
+    admitted = files.admit_files(spark, str(tmp_path), 50).filter("admitted").collect()
+    assert [r.path.rsplit("/", 1)[1] for r in admitted] == ["small.csv"]
