@@ -14,6 +14,10 @@ A batch of new ids thus reads filters (16 bits an id) and next to no ids; a
 single record reads one bucket. Each id is tested against every live run, so
 compaction, which keeps the runs few, also keeps lookups cheap. Ids whose label
 was replayed since are not counted.
+
+A batch of ``WIDE`` ids has some in every bucket. If the store is no larger than
+the tests of the batch's ids against every run would be, its ids are joined with
+the stored ids at once: each id then moves once, not once for every run.
 """
 
 from __future__ import annotations
@@ -22,6 +26,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BUCKETS, KEYS, WORDS = 4096, 32, 8
+WIDE = 32 * BUCKETS
+ROWS_A_FILE = 500_000
 STORED = "external_transaction_id"
 
 
@@ -44,15 +50,19 @@ def blocks_for(n: int) -> int:
     return max(1, -(-n // (BUCKETS * KEYS)))
 
 
-def index_rows(rows: DataFrame) -> DataFrame:
-    """Ids by bucket, ready to be written; a small run is one file."""
+def index_rows(rows: DataFrame, n: int) -> DataFrame:
+    """Ids of a run of n rows by bucket, ready to be written; a small run is one file."""
     keep = [c for c in ("ingest_batch",) if c in rows.columns]
     ids = rows.select(STORED, *keep, _bucket(F.xxhash64(STORED)).alias("bucket"))
-    return ids.repartitionByRange("bucket", STORED).sortWithinPartitions("bucket", STORED)
+    # buckets are even by their hash: ranges of them need no sample of the rows
+    files = max(1, -(-n // ROWS_A_FILE))
+    return (ids.repartitionById(files, (F.col("bucket") * F.lit(files) / BUCKETS).cast("int"))
+            .sortWithinPartitions("bucket", STORED))
 
 
 def filter_rows(rows: DataFrame, blocks: int) -> DataFrame:
-    """One row a block: its eight words. Bits are combined before the shuffle."""
+    """One row a block: its eight words. Bits are combined before the shuffle: from rows that
+    lie by bucket, as ``index_rows`` writes them, hardly more than a row a block is moved."""
     h = F.xxhash64(STORED)
     bit = rows.where(F.col(STORED).isNotNull()).select(
         _bucket(h).alias("bucket"), _block(h, F.lit(blocks)).alias("block"), *_bits(F.col(STORED)))
@@ -82,16 +92,23 @@ def stored_ids(ids: DataFrame, id_col: str, snap, exclude_batch: str | None = No
     ids.select(F.col(id_col).alias(STORED)).where(F.col(STORED).isNotNull()).distinct() \
         .withColumn("h", F.xxhash64(STORED)).withColumn("bucket", _bucket(F.col("h"))).write.parquet(staged)
     want = spark.read.schema(f"{STORED} string, h bigint, bucket int").parquet(staged)
+    asked = want.count()
+    if asked >= WIDE:
+        held = (snap.read("files").where((F.col("table") == "ids") & F.col("run").isin(live))
+                .agg(F.coalesce(F.sum("file_rows"), F.lit(0))).first()[0])
+        if held <= asked * (2 * len(live) - 1):
+            return snap.read("ids", exclude_batch).join(want, STORED, "left_semi").select(STORED).distinct()
     files = _files(snap, "id_filters", want.select("bucket").distinct(), live)
     if not files:
         return empty
     runs = F.array(*[F.struct(F.lit(r).alias("run"), F.lit(snap.blocks[r]).cast("bigint").alias("blocks")) for r in live])
     probe = (want.select(STORED, "bucket", "h", F.explode(runs).alias("r"))
-             .select(STORED, "bucket", F.col("r.run").alias("run"), _block(F.col("h"), F.col("r.blocks")).alias("block"),
-                     *_bits(F.col(STORED))))
+             .select(STORED, "bucket", F.col("r.run").alias("run"), _block(F.col("h"), F.col("r.blocks")).alias("block")))
     block = snap.read("id_filters", exclude_batch, files=files).drop("ingest_batch")
     test = " AND ".join(f"getbit(w{i}, b{i}) = 1" for i in range(WORDS))
-    probe.join(block, ["run", "bucket", "block"]).where(test).select(STORED, "run", "bucket").write.parquet(passed)
+    # the bits follow from the id: they need not travel
+    met = probe.join(block, ["run", "bucket", "block"]).select("*", *_bits(F.col(STORED)))
+    met.where(test).select(STORED, "run", "bucket").write.parquet(passed)
     maybe = spark.read.schema(f"{STORED} string, run string, bucket int").parquet(passed)
     files = _files(snap, "ids", maybe.select("run", "bucket").distinct(), live)
     if not files:

@@ -193,22 +193,25 @@ class Run:
                                T.StructField("txn_month", T.StringType())])
         rows = self.spark.read.schema(schema).parquet(self.path("transactions"))
         labels = rows if self.label is None else rows.drop("ingest_batch")
-        self.write(summaries.partial_summaries(labels).repartitionByRange("customer_id", "txn_day")
-                   .sortWithinPartitions("customer_id", "txn_day"), "summaries")
-        self.blocks = id_index.blocks_for(rows.count())
-        self.write(id_index.index_rows(labels), "ids")
-        self.write(id_index.filter_rows(rows, self.blocks), "id_filters")
+        self.write(summaries.partial_summaries(labels).sortWithinPartitions("customer_id", "txn_day"), "summaries")
+        n = rows.count()
+        self.blocks = id_index.blocks_for(n)
+        self.write(id_index.index_rows(labels, n), "ids")
+        ids = self.spark.read.schema(f"{id_index.STORED} string").parquet(self.path("ids"))
+        self.write(id_index.filter_rows(ids, self.blocks), "id_filters")
         self.write(reduce(DataFrame.unionByName, [self._ranges(t) for t in RANGED]), "files")
 
     def _ranges(self, table: str) -> DataFrame:
         """Smallest and largest value of the ranged column in each file of a table."""
         col = RANGED[table]
-        value = F.lpad(col, 8, "0") if col == "bucket" else F.col(col)
         kind = "string" if col == "customer_id" else "int"
         rows = self.spark.read.schema(f"{col} {kind}").parquet(self.path(table))
         file = F.regexp_extract(F.col("_metadata.file_path"), f"/{table}/(run=.*)$", 1)
-        return (rows.select(file.alias("file"), value.alias("v")).groupBy("file")
-                .agg(F.min("v").alias("first"), F.max("v").alias("last"), F.count("*").alias("file_rows"))
+        found = (rows.select(file.alias("file"), F.col(col).alias("v")).groupBy("file")
+                 .agg(F.min("v").alias("first"), F.max("v").alias("last"), F.count("*").alias("file_rows")))
+        if col == "bucket":                          # numbers until here: their least and greatest need no sort
+            found = found.withColumns({c: F.lpad(c, 8, "0") for c in ("first", "last")})
+        return (found
                 .withColumns({"table": F.lit(table), "ingest_batch": F.lit(None).cast("string")}))
 
     def commit(self, folded=None) -> None:

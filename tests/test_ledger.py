@@ -185,3 +185,31 @@ def test_hot_id_is_split_in_joins_back(spark):
         assert marked.where("dup_code is null").count() == 1001
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+
+
+def test_wide_batch_moves_each_id_once(spark, ledger, monkeypatch):
+    root, want = ledger
+    snap = store.snapshot(spark, root)
+    ask = want.select("external_transaction_id").unionByName(
+        spark.createDataFrame([(f"N{i}",) for i in range(300)] + [(None,)], "external_transaction_id string"))
+    monkeypatch.setattr(id_index, "WIDE", 1)
+    for skip, seeds in ((None, (0, 1, 2)), ("h1", (0, 2))):
+        got = id_index.stored_ids(ask.unionByName(ask), "external_transaction_id", snap, exclude_batch=skip)
+        assert not any("id_filters" in f or "candidates" in f for f in got.inputFiles())
+        held = [r.external_transaction_id for r in want.collect()]
+        assert sorted(r[0] for r in got.collect()) == sorted(x for x in held if int(x[1]) in seeds)
+    one = spark.createDataFrame([("T2-00005",)], "external_transaction_id string")
+    few = id_index.stored_ids(one, "external_transaction_id", snap)      # the store is larger than one id's tests
+    assert few.count() == 1 and any("candidates" in f for f in few.inputFiles())
+
+
+def test_run_tables_move_rows_once(spark, tmp_dir):
+    """Summaries have one exchange; the index's files and their ranges hold every row."""
+    rows = history(spark, 300, 7)
+    plan = summaries.partial_summaries(rows)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1
+    store.load_label(rows, people(spark), tmp_dir, "a")
+    snap = store.snapshot(spark, tmp_dir)
+    found = {r.table: r for r in snap.read("files").where("table <> 'transactions'").collect()}
+    assert found["ids"].file_rows == 300 and found["id_filters"].file_rows == snap.read("id_filters").count()
+    assert len(found["ids"].first) == len(found["ids"].last) == 8 and found["ids"].first <= found["ids"].last
