@@ -3,7 +3,9 @@
 The file sources and the streaming ingest need files to read; these are
 written from the (whole) ``raw_transactions`` / ``raw_events`` frames. Each
 file holds a range of a split's rows in order, so that per-file row numbers are
-well defined and no task writes more than ``ROWS_A_FILE`` rows of a file.
+well defined and no task writes more than ``ROWS_A_FILE`` rows of a file. A stream
+whose results don't depend on the files gets about ``STREAM_ROWS`` rows a file:
+it pays for each micro-batch, so its files must not be small.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ FULL_LAYOUTS = (
 )
 
 
-ROWS_A_FILE = 100_000
+ROWS_A_FILE, STREAM_ROWS = 100_000, 4_000_000
 
 
 def _bounded_files(raw: DataFrame, split: int) -> DataFrame:
@@ -42,30 +44,42 @@ def _bounded_files(raw: DataFrame, split: int) -> DataFrame:
             .repartition("block").sortWithinPartitions("block", "row_number"))
 
 
+def _split_files(raw: DataFrame, rows: int | None):
+    """(number, rows, partition columns) of each split: bounded files by row number, or, if
+    ``rows`` is given, files of about that many rows each, however the row numbers lie."""
+    if rows is None:
+        for i in range(3):
+            yield i, _bounded_files(raw, i), ["block"]
+        return
+    split = F.col("row_number") % 3
+    count = {r.split: r["count"] for r in raw.groupBy(split.alias("split")).count().collect()}   # four rows at most
+    for i in range(3):
+        files = max(1, -(-count.get(i, 0) // rows))
+        yield i, raw.filter(split == i).repartitionByRange(files, "row_number").sortWithinPartitions("row_number"), []
+
+
 def write_csv_splits(raw: DataFrame, label: str = "csv",
-                     layouts: tuple[list[str], ...] = LAYOUTS) -> str:
+                     layouts: tuple[list[str], ...] = LAYOUTS, rows: int | None = None) -> str:
     """CSV files of bounded rows in three splits (row_number % 3), each with its own header layout."""
     spark = raw.sparkSession
     out = scratch_path(spark, label)
-    for i, layout in enumerate(layouts):
-        part = _bounded_files(raw.withColumn("note", F.lit("x")), i)
-        (part.select("block", *layout).write.partitionBy("block")
+    for i, part, by in _split_files(raw.withColumn("note", F.lit("x")), rows):
+        (part.select(*by, *layouts[i]).write.partitionBy(*by)
          .option("header", True).option("escape", '"')
          .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
          .csv(f"{out}/split={i}"))
     return out
 
 
-def write_json_splits(raw: DataFrame, label: str = "json") -> str:
+def write_json_splits(raw: DataFrame, label: str = "json", rows: int | None = None) -> str:
     """JSON-lines files of bounded rows in three splits; the amount is written as a JSON number."""
     spark = raw.sparkSession
     out = scratch_path(spark, label)
-    for i in range(3):
-        (_bounded_files(raw, i)
-         .select("block", "customerId", "transactionId", "transactionDate",
-                 F.col("amount").try_cast("decimal(38,10)").alias("amount"),
-                 "currency", "sourceChannel")
-         .write.partitionBy("block").json(f"{out}/split={i}"))
+    for i, part, by in _split_files(raw, rows):
+        (part.select(*by, "customerId", "transactionId", "transactionDate",
+                     F.col("amount").try_cast("decimal(38,10)").alias("amount"),
+                     "currency", "sourceChannel")
+         .write.partitionBy(*by).json(f"{out}/split={i}"))
     return out
 
 
