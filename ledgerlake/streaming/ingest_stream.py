@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.ingest import run_ingest
+from ..session import scratch_path
 from ..sources import files
 
 
@@ -47,6 +48,8 @@ def ingest_stream(spark: SparkSession, input_dir: str, root: str, checkpoint: st
     Files of another extension, empty ones and, if ``max_bytes`` is given, longer ones
     are never read; ``files.admit_files`` over the folder lists them with the reason.
 
+    ``base_*`` are stored tables outside ``root``; their ids are read once a start, not once a batch.
+
     There is no time limit unless ``timeout_s`` sets one. On a cluster, drop
     ``availableNow`` and keep the query running; the per-batch function is the same.
     """
@@ -62,6 +65,10 @@ def ingest_stream(spark: SparkSession, input_dir: str, root: str, checkpoint: st
              .option("maxFilesPerTrigger", files_per_trigger).load(input_dir)
              .select("path", "length"))
 
+    if base_transactions is not None:
+        held = scratch_path(spark, "base-ids")
+        base_transactions.select("external_transaction_id").write.parquet(held)
+        base_transactions = spark.read.parquet(held)
     stream = hashlib.md5(checkpoint.rstrip("/").encode()).hexdigest()[:12]
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
@@ -74,6 +81,9 @@ def ingest_stream(spark: SparkSession, input_dir: str, root: str, checkpoint: st
             return
         reader: Callable = files.read_csv_by_header if fmt == "csv" else files.read_json_records
         rows = reader(spark, names)
+        if fmt == "csv":
+            # a task reads a whole file; its rows are spread for parsing and validation
+            rows = rows.repartition("row_key")
         run_ingest(rows, root, batch_label(stream, batch_id), as_of=as_of, typed=(fmt == "json"),
                    base_transactions=base_transactions, base_customers=base_customers)
 
