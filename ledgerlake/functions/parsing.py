@@ -20,6 +20,8 @@ from .. import config as C
 ISO_DATETIME = (r"^\s*(\d{4}-\d{2}-\d{2})"
                 r"(?:[Tt ](\d{2}:\d{2}(?::\d{2}(?:\.\d{1,9})?)?))?"
                 r"\s*([Zz]|[+-]\d{2}(?::?\d{2})?)?\s*$")
+# The plainest of these: a whole time in UTC. Without its Z it is cast as it stands.
+UTC_DATETIME = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(?:\.\d{1,9})?Z\z"
 # Month/day/year, year/month/day (slashes or dashes) and day month-name year,
 # each optionally with hours:minutes[:seconds] and AM or PM.
 _CLOCK = r"(?:\s+(\d{1,2}):(\d{2})(?::(\d{2}))?(?:\s*([AaPp])[Mm])?)?\s*$"
@@ -43,14 +45,19 @@ BLANK = r"(?U)^\s*$"
 
 
 def is_blank(c: Column) -> Column:
-    """Null, empty or only (Unicode) white space."""
-    return F.coalesce(c.rlike(BLANK), F.lit(True))
+    """Null, empty or only (Unicode) white space.
+
+    Text whose first byte is a visible ASCII sign, most text, is told without the pattern.
+    """
+    return F.when((c >= "!") & (c < "\u007f"), F.lit(False)).otherwise(F.coalesce(c.rlike(BLANK), F.lit(True)))
 
 
 def utf16_length(c: Column) -> Column:
     """String length in UTF-16 code units, as the original's limits count
-    it (a character outside the Basic Multilingual Plane counts twice)."""
-    return (F.octet_length(F.encode(c, "UTF-16BE")) / 2).cast("int")
+    it (a character outside the Basic Multilingual Plane counts twice). Text
+    of one byte a character needs no encoding."""
+    return (F.when(F.octet_length(c) == F.length(c), F.length(c))
+            .otherwise((F.octet_length(F.encode(c, "UTF-16BE")) / 2).cast("int")))
 
 
 def utc_wall_clock(instant: Column) -> Column:
@@ -67,14 +74,16 @@ def _iso_timestamp(s: Column) -> Column:
     The gate keeps out what the casts would over-accept ('2024', '12:30').
     Text without an offset is UTC wall-clock already and is cast straight to
     ``timestamp_ntz``; text with Z or an offset is cast to an instant, which is
-    turned into UTC wall-clock. Neither depends on the session time zone.
+    turned into UTC wall-clock. Neither depends on the session time zone. A whole
+    time with Z, the common form, is known by one short pattern and cast without its Z.
     """
     text = F.upper(s)
     has_offset = F.regexp_extract(s, ISO_DATETIME, 3) != ""
     # the cast wants seconds before an offset
     instant = F.regexp_replace(text, r"([T ]\d{2}:\d{2})(\s*(?:Z|[+-]\d|$))", "$1:00$2").try_cast("timestamp")
-    return F.when(s.rlike(ISO_DATETIME),
-                  F.when(has_offset, utc_wall_clock(instant)).otherwise(text.try_cast("timestamp_ntz")))
+    return (F.when(s.rlike(UTC_DATETIME), F.left(s, F.length(s) - 1).try_cast("timestamp_ntz"))
+            .when(s.rlike(ISO_DATETIME),
+                  F.when(has_offset, utc_wall_clock(instant)).otherwise(text.try_cast("timestamp_ntz"))))
 
 
 def _clock_timestamp(s: Column, pattern: str, year: int, month: int, day: int) -> Column:

@@ -123,14 +123,15 @@ def as_of_literal(as_of: str | None) -> Column:
 
 def errors_expr(rules: tuple[Rule, ...], as_of: Column) -> Column:
     """Array of failing rules, in rule order."""
-    entries = [F.when(r.fails(F.col, as_of),
-                      F.struct(F.lit(r.field).alias("field"), F.lit(r.code).alias("code"),
-                               F.lit(r.message).alias("message")))
-               for r in rules]
-    # array_except (codegen) rather than array_compact (a lambda filter that
-    # drops the whole projection out of whole-stage codegen); codes are
-    # distinct, so removing duplicates changes nothing.
-    return F.array_except(F.array(*entries), F.array(F.lit(None).cast(ERROR_STRUCT)))
+    # an empty or one-entry list for each rule, joined: all of it is generated code, and
+    # each rule is evaluated once (array_compact is a lambda, array_except of structs
+    # compares them one by one)
+    none = F.array().cast(ERROR_TYPE)
+    return F.concat(*[
+        F.when(r.fails(F.col, as_of),
+               F.array(F.struct(F.lit(r.field).alias("field"), F.lit(r.code).alias("code"),
+                                F.lit(r.message).alias("message")))).otherwise(none)
+        for r in rules])
 
 
 def validate_text_rows(df: DataFrame, as_of: str | None = None) -> DataFrame:

@@ -194,6 +194,11 @@ def errors_by_field(classified: DataFrame) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("failures")))
 
 
+#: What a validated row still needs: its place, its id and the values that are stored.
+CARRIED = ("source_file", "row_number", ORDER_KEY, "customerId", "transactionId", DATE_COL, AMOUNT_COL,
+           "currency", "sourceChannel")
+
+
 def run_ingest(batch: DataFrame, root: str, label: str, as_of: str | None = None,
                typed: bool = False, base_transactions: DataFrame | None = None,
                base_customers: DataFrame | None = None, spread_tasks: int | None = None) -> dict:
@@ -218,13 +223,20 @@ def run_ingest(batch: DataFrame, root: str, label: str, as_of: str | None = None
         as_of = spark.range(1).select(utc_now().cast("string")).first()[0]
     # The validated batch is used by several branches of the plan (the id
     # aggregate, the store check, the join back): it is written once to shared
-    # storage, so the input is read and the rules are evaluated once.
+    # storage, so the input is read and the rules are evaluated once. The texts
+    # of date and amount end here, their values go on.
     validate = validate_typed_rows if typed else validate_text_rows
     checked = scratch_path(spark, "validated")
-    validate(spread_for_cpu(batch, spread_tasks), as_of).write.parquet(checked)
-    valid = spark.read.parquet(checked)
+    rows = validate(spread_for_cpu(batch, spread_tasks), as_of)
+    carried = [c for c in CARRIED if c in rows.columns]
+    rows.select(*carried, ERRORS_COL, is_valid().alias("_valid_row")).write.parquet(checked)
+    rows = spark.read.parquet(checked)
+    # Invalid rows own no id and have no customer: they go to the rejects as they are,
+    # and only valid rows, whose errors are empty, are moved by the joins.
+    invalid = rows.where(~F.col("_valid_row")).withColumn("status", F.lit(C.STATUS_INVALID))
+    valid = rows.where("_valid_row").select(*carried, F.array().cast(ERROR_TYPE).alias(ERRORS_COL))
     # which of the batch's ids are stored: through the id index, not by a scan of the history
-    stored = id_index.stored_ids(valid.where(is_valid()).select("transactionId"), "transactionId", snap, label)
+    stored = id_index.stored_ids(valid.select("transactionId"), "transactionId", snap, label)
     if base_transactions is not None:
         stored = base_transactions.select("external_transaction_id").unionByName(stored)
     result = classify_batch(valid, stored, cu, as_of)
@@ -232,7 +244,6 @@ def run_ingest(batch: DataFrame, root: str, label: str, as_of: str | None = None
     # storage, and every output below is read from that table.
     staged = scratch_path(spark, "classified")
     result.classified.write.parquet(staged)
-    store.remove(spark, checked)
     classified = spark.read.parquet(staged)
     done = IngestResult(classified, as_of_literal(as_of), as_of)
 
@@ -240,10 +251,13 @@ def run_ingest(batch: DataFrame, root: str, label: str, as_of: str | None = None
     run = store.Run(spark, root, label)
     store.write_customers(run, done.created_customers)
     run.transactions(accepted_transactions(classified, as_of))
-    store.write_rejects(run, quarantine_rows(classified))
-    counters = ingest_counters(classified)
-    store.write_counters(run, counters)
-    out = counters.first().asDict()
+    outcome = [*carried, "status", ERRORS_COL]
+    every = classified.select(*outcome).unionByName(invalid.select(*outcome))
+    store.write_rejects(run, quarantine_rows(every))
+    # one row: the second use need not count again
+    out = ingest_counters(every).first().asDict()
+    store.write_counters(run, spark.createDataFrame([tuple(out[c] for c in store.COUNTERS)], store.SCHEMAS["counters"]))
     run.commit()
-    store.remove(spark, staged)
+    for done_with in (checked, staged):
+        store.remove(spark, done_with)
     return out

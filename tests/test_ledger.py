@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerlake.operators import audit, dedupe, id_index, paging, summaries
+from ledgerlake.plans import ingest
 from ledgerlake.plans.ingest import run_ingest
 from ledgerlake.sources import store
 
@@ -213,3 +214,24 @@ def test_run_tables_move_rows_once(spark, tmp_dir):
     found = {r.table: r for r in snap.read("files").where("table <> 'transactions'").collect()}
     assert found["ids"].file_rows == 300 and found["id_filters"].file_rows == snap.read("id_filters").count()
     assert len(found["ids"].first) == len(found["ids"].last) == 8 and found["ids"].first <= found["ids"].last
+
+
+def test_only_valid_rows_are_joined(spark, tmp_dir, monkeypatch):
+    """Invalid rows go to the rejects past the joins; texts of date and amount are not carried."""
+    seen, real = [], ingest.classify_batch
+
+    def watched(validated, *args):
+        seen.append((validated.columns, [r.transactionId for r in validated.select("transactionId").collect()]))
+        return real(validated, *args)
+
+    monkeypatch.setattr(ingest, "classify_batch", watched)
+    rows = batch(spark, ("C1", "T1", "5"), ("C1", "T1", "6"), ("", "T2", "x"), ("C2", None, "1"), (None, "T3", "2"), ("C2", "T4", "0.5"))
+    for label, accepted in (("a", 2), ("a", 2), ("b", 0)):
+        out = run_ingest(rows, tmp_dir, label, AS_OF)
+        assert out == {"total_rows": 6, "accepted": accepted, "rejected": 6 - accepted, "duplicate": 3 - accepted, "invalid": 3, "unresolved": 0}
+    assert [sorted(ids) for _, ids in seen] == [["T1", "T1", "T4"]] * 3
+    assert not {"transactionDate", "amount"} & set(seen[0][0])
+    found = [(r.ingest_batch, r.transactionId, r.status, [e.code for e in r.errors]) for r in store.read_rejects(spark, tmp_dir).collect()]
+    invalid = [("T2", "invalid", ["cust_empty", "amt_bad", "amt_pos", "amt_max"]), ("", "invalid", ["txn_empty"]), ("T3", "invalid", ["cust_empty"])]
+    twice = [("a", "T1", "duplicate", ["dup_batch"]), *(("b", x, "duplicate", ["dup_stored"]) for x in ("T1", "T1", "T4"))]
+    assert sorted(found) == sorted([(label, *r) for label in "ab" for r in invalid] + twice)

@@ -133,3 +133,19 @@ def test_parsing_ignores_session_zone(spark, zone):
         spark.conf.set("spark.sql.session.timeZone", "UTC")
     assert got == [dt.datetime(2024, 7, 1, 12), dt.datetime(2024, 1, 15, 4, 30),
                    dt.datetime(2024, 1, 15, 10), dt.datetime(2024, 1, 15, 10)]
+
+
+def test_short_ways_equal_the_long_ones(spark):
+    """Plain texts skip patterns and encoding; each result is that of the long way."""
+    texts = [None, "", " ", "\t\n", "  ", "a", " a", "!", "~", "\u007f", "\u0085", "é", "\U0001F600x", "USD\n", "abc\U0001F600"]
+    stamps = ["2024-02-29T01:02:03Z", "2024-02-30T01:02:03Z", "2024-02-29 23:59:59.123456789Z", "2024-02-29T24:00:00Z", "0000-01-01T00:00:00Z",
+              "9999-12-31T23:59:59.999999Z", "2024-02-29T01:02:03Z\n", "2024-02-29t01:02:03z", "2024-02-29T01:02:60Z", "2024-02-29T01:02:03.Z", "2024-02-29T01:02Z"]
+    df = spark.createDataFrame([(t,) for t in texts + stamps], "t string")
+    t = F.col("t")
+    blank = F.coalesce(t.rlike(parsing.BLANK), F.lit(True))
+    units = (F.octet_length(F.encode(t, "UTF-16BE")) / 2).cast("int")
+    other_zone = F.regexp_replace(t, "Z$", "+00:00")                 # the same instant, by the long way
+    rows = df.select("t", parsing.is_blank(t), blank, parsing.utf16_length(t), units,
+                     parsing.parse_timestamp(t).cast("string"), parsing.parse_timestamp(other_zone).cast("string")).collect()
+    assert [r.t for r in rows if r[1] != r[2] or r[3] != r[4] or r[5] != r[6]] == []
+    assert [r[5] for r in rows][-11:-8] == ["2024-02-29 01:02:03", None, "2024-02-29 23:59:59.123456"]
