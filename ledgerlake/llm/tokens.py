@@ -22,7 +22,9 @@ Strings of special tokens become their ids, as the library does by default.
 
 from __future__ import annotations
 
+import codecs
 import functools
+import itertools
 import os
 import re
 import struct
@@ -31,6 +33,7 @@ from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,15 +45,16 @@ END_ID = 0
 BLOCK_TOKENS = 1 << 20
 PAIRS_A_ROUND, MIN_COUNT = 4096, 8
 MEMO, LONG_KEY = 400_000, 64
+SLICE_CHARS = 1 << 22                                      # texts of about so many bytes are encoded at once
 _WIDE_GAP = re.compile(r" (?:\s|\Z)").search                  # a space with no sign right after it
 _WORD_GAP = re.compile(r" (?=\S)")
-_PLAIN_WORD = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]+)([!-/:-@]*)").fullmatch
-_SPACE_LETTER = "\u0120"                                   # how byte-level BPE writes a space
+_SIGNS, _LATIN_END = "!\"#$%&'()*+,-./:;<=>?@", "\u0250"  # letters before that are letters in any version of Unicode
+_SEPARATOR, _TOGETHER = 255, 128                           # a byte that UTF-8 never has; pieces merged by one call
 _HEAD = struct.Struct("<4sIIIIQ")
 
 
 class Memo(dict):
-    """``make(key)`` remembered; when ``room`` is used up, only what was used lately stays.
+    """``make(keys)`` remembered; when ``room`` is used up, only what was used lately stays.
 
     Keys over ``LONG_KEY`` letters are made anew each time, so the size is bounded.
     """
@@ -62,23 +66,43 @@ class Memo(dict):
     def __missing__(self, key: str) -> bytes:
         got = self.before.get(key)
         if got is None:
-            got = self.make(key)
-        if len(key) <= LONG_KEY:
-            if len(self) >= self.room:
-                self.before = dict(self)
-                self.clear()
-            self[key] = got
+            got = self.make([key])[0]
+        self.keep({key: got})
         return got
 
+    def keep(self, more: dict[str, bytes]) -> None:
+        more = {k: more[k] for k in more if len(k) <= LONG_KEY}
+        if len(more) > self.room:
+            more = dict(itertools.islice(more.items(), self.room))
+        if len(self) + len(more) > self.room:
+            self.before = dict(self)
+            self.clear()
+        self.update(more)
+
+    def take(self, keys: list[str]) -> list[bytes]:
+        """The values of distinct keys; the unknown ones are made together."""
+        got = list(map(self.get, keys))
+        miss = [k for k, v in zip(keys, got) if v is None]
+        if not miss:
+            return got
+        more = dict(zip(miss, map(self.before.get, miss)))
+        fresh = [k for k, v in more.items() if v is None]
+        if fresh:
+            more.update(zip(fresh, self.make(fresh)))
+        self.keep(more)
+        return [more[k] if v is None else v for k, v in zip(keys, got)]
+
 
 class Encoder:
     """The tokenizer with a bounded memory of words and of the pieces in them.
 
     Byte-level BPE never merges across the pieces that its pattern cuts, so a
-    piece's ids can be kept; the library's merges run on each piece that is new.
-    The pattern always cuts before a space with a letter or sign after it, so a
-    text is first split there and known words need no pattern. A line break
-    between two signs is a piece of its own.
+    piece's ids can be kept; the library's merges run on the pieces that are new,
+    many at a call, parted by a byte that no merge of the vocabulary has.
+    The pattern always cuts before a space with a letter or sign after it and
+    around the line breaks between two signs, so texts are first split there:
+    a word is what follows a space, or a run of line breaks with what follows it.
+    Texts with other white space at a word's edge are cut by the pattern.
     """
 
     def __init__(self, path: str):
@@ -94,43 +118,137 @@ class Encoder:
         # byte-level BPE writes each byte as a letter: itself if printable, else the next one from 256 on
         plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
         rest = [b for b in range(256) if b not in plain]
-        self.letters = {b: 256 + k for k, b in enumerate(rest)}
+        self.letters = "".join(chr(b if b in plain else 256 + rest.index(b)) for b in range(256))
+        self.merges = Tokenizer(self.tok.model)             # the model alone: takes byte letters, cuts nothing
+        part, vocab = self.letters[_SEPARATOR], self.tok.get_vocab(with_added_tokens=False)
+        self.separator = vocab.get(part)
+        self.together = _TOGETHER if [t for t in vocab if part in t] == [part] else 1
         self.piece = Memo(self._merge, MEMO // 4)
-        self.head = Memo(self._cut, MEMO // 4)              # a word that no space precedes
-        self.word = Memo(self._cut_word, MEMO)              # a word after a space
-
-    def _merge(self, piece: str) -> bytes:
-        letters = piece.encode().decode("latin-1").translate(self.letters)
-        return array("I", [t.id for t in self.tok.model.tokenize(letters)]).tobytes()
-
-    def _cut_word(self, word: str) -> bytes:
-        plain = _PLAIN_WORD(word)
-        if plain is None:
-            line, _, more = word.partition("\n")
-            if line and more and not line[-1].isspace() and not more[0].isspace():
-                return self.word[line] + self.piece["\n"] + (self._cut(more) if "\n" in more else self.head[more])
-            return self._cut(" " + word)
-        letters, signs = plain.groups()
-        if signs:
-            return self.word[letters] + self.piece[signs]
-        if letters.isascii():
-            return array("I", [t.id for t in self.tok.model.tokenize(_SPACE_LETTER + letters)]).tobytes()
-        return self._merge(" " + letters)
-
-    def _cut(self, text: str) -> bytes:
-        return b"".join(map(self.piece.__getitem__, self.pieces(text)))
+        self.head = Memo(lambda keys: self._join(map(self.pieces, keys)), MEMO // 4)   # a word that no space precedes
+        self.word = Memo(self._cut_words, MEMO)             # a word after a space, or line breaks and a word
+
+    def _merge(self, pieces: list[str]) -> list[bytes]:
+        raw = list(map(str.encode, pieces))
+        joined = [bytes([_SEPARATOR]).join(raw[i:i + self.together]) for i in range(0, len(raw), self.together)]
+        ids = [e.ids for e in self.merges.encode_batch_fast(
+            [codecs.charmap_decode(j, "strict", self.letters)[0] for j in joined], add_special_tokens=False)]
+        if self.together == 1:
+            return [array("I", i).tobytes() for i in ids]
+        flat = np.fromiter(itertools.chain.from_iterable([*i, self.separator] for i in ids), "<u4")
+        end, raw = (4 * np.flatnonzero(flat == self.separator)).tolist(), flat.tobytes()
+        return [raw[a:z] for a, z in zip([0, *(e + 4 for e in end)], end)]
+
+    def _cut_words(self, words: list[str]) -> list[bytes]:
+        """Ids of words; none for a word that cannot be taken alone, with white space at its edge."""
+        stems = [w.rstrip(_SIGNS) for w in words]
+        plain = [s.isalpha() and (s.isascii() or max(s) < _LATIN_END) for s in stems]
+        new = list(dict.fromkeys(s for s, p in zip(stems, plain) if p and s not in self.word))
+        made = dict(zip(new, self._merge([" " + s for s in new])))
+        odd = iter(self._cut_odd([w for w, p in zip(words, plain) if not p]))
+        out, shared = [], {}
+        for w, s, p in zip(words, stems, plain):
+            if not p:
+                out.append(next(odd))
+            elif len(w) == len(s):
+                out.append(made[s])
+            else:
+                ids = made.get(s)
+                if ids is None:
+                    ids = self.word[s]
+                else:
+                    shared[s] = ids
+                out.append(ids + self.piece[w[len(s):]])
+        self.word.keep(shared)
+        return out
+
+    def _cut_odd(self, words: list[str]) -> list[bytes]:
+        cut = []
+        for w in words:
+            core = w.lstrip("\n")
+            if not core:
+                cut.append((w or " ",))
+            elif core[0].isspace() or core[-1].isspace():
+                cut.append(())
+            else:
+                cut.append(self.pieces(w if w[0] == "\n" else " " + w))
+        return self._join(cut)
+
+    def _join(self, cut) -> list[bytes]:
+        cut = list(cut)
+        need = list(dict.fromkeys(itertools.chain.from_iterable(cut)))
+        ids = dict(zip(need, self.piece.take(need)))
+        return [b"".join(map(ids.__getitem__, c)) for c in cut]
+
+    def _spaced(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of texts with any white space, ended with the end id."""
+        split = [_WORD_GAP.split(t) if _WIDE_GAP(t) else t.split(" ") for t in texts]
+        words = list(dict.fromkeys(w for _, *more in split for w in more))
+        whole, edged = [w for w in words if not w[-1].isspace()], [w for w in words if w[-1].isspace()]
+        ids = dict(zip(whole, self.word.take(whole)))
+        ids.update(zip(edged, self._join(self.pieces(" " + w) for w in edged)))
+        heads = list(dict.fromkeys(first for first, *_ in split))
+        head = dict(zip(heads, self.head.take(heads)))
+        return [np.frombuffer(b"".join([head[first], *map(ids.__getitem__, more), _END]), "<u4") for first, *more in split]
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text, ended with the end id."""
-        end, out = np.array([END_ID], "<u4").tobytes(), []
-        for t in texts:
+        out, plain = [None] * len(texts), []
+        for i, t in enumerate(texts):
             if any(s in t for s in self.special):
-                out.append(np.array([*self.tok.encode(t, add_special_tokens=False).ids, END_ID], "<u4"))
-                continue
-            first, *more = _WORD_GAP.split(t) if _WIDE_GAP(t) else t.split(" ")
-            out.append(np.frombuffer(b"".join([self.head[first] if first else b"", *map(self.word.__getitem__, more), end]), "<u4"))
+                out[i] = np.array([*self.tok.encode(t, add_special_tokens=False).ids, END_ID], "<u4")
+            else:
+                plain.append(i)
+        if plain:
+            for i, ids in zip(plain, self._many([texts[i] for i in plain])):
+                out[i] = ids
+        spaced = [i for i in plain if out[i] is None]
+        for i, ids in zip(spaced, self._spaced([texts[i] for i in spaced])):
+            out[i] = ids
         return out
 
+    def _many(self, texts: list[str]) -> list[np.ndarray | None]:
+        """Ids of texts by their distinct words, ended with the end id; none for a text to be cut by the pattern."""
+        lines = pc.replace_substring_regex(pa.array(texts, pa.large_string()), r"(\n+)", r" \1")
+        split = pc.split_pattern(lines, " ")
+        at = split.offsets.to_numpy()
+        words = split.values.dictionary_encode()
+        code = words.indices.to_numpy()
+        keys = words.dictionary.to_numpy(zero_copy_only=False).tolist()
+        ids = self.word.take(keys)
+        # two words that are one run of white space cannot be taken alone either
+        opens = pc.or_(pc.starts_with(words.dictionary, "\n"), pc.equal(words.dictionary, "")).to_numpy(zero_copy_only=False)
+        shuts = np.zeros(len(keys), bool)
+        for k in np.flatnonzero(opens):
+            shuts[k] = not keys[k].strip("\n")
+        odd = np.fromiter(map(len, ids), np.int64, len(ids))[code] == 0
+        odd[:-1] |= shuts[code[:-1]] & opens[code[1:]]
+        heads = [keys[c] for c in code[at[:-1]]]
+        odd[at[:-1]] = [h[-1:].isspace() for h in heads]
+        good = ~np.logical_or.reduceat(odd, at[:-1])
+        if not good.any():
+            return [None] * len(texts)
+        heads = list(itertools.compress(heads, good))
+        head = list(dict.fromkeys(heads))
+        head = dict(zip(head, self.head.take(head)))
+        ids += [_END + head[h] for h in heads]
+        n_words = np.diff(at)
+        code = code[np.repeat(good, n_words)]
+        first = np.cumsum(n_words[good]) - n_words[good]
+        code[first] = len(keys) + np.arange(len(first))
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        place = np.cumsum(size) - size
+        n = size[code]
+        begin = np.cumsum(n) - n
+        pool = np.frombuffer(b"".join([*ids, _END]), "<u4")
+        spot = np.repeat(place[code] - begin, n)
+        spot += np.arange(len(spot))
+        flat = pool[np.append(spot, len(pool) - 1)]         # the end id stands before each text's head and at the end
+        cuts = iter(np.split(flat[1:], begin[first][1:]))
+        return [next(cuts) if g else None for g in good]
+
+
+_END = np.array([END_ID], "<u4").tobytes()
+
 
 @functools.cache
 def encoder(path: str) -> Encoder:
@@ -144,42 +262,72 @@ def repair(ids: np.ndarray, ends: np.ndarray, vocab: int, top: int = PAIRS_A_ROU
     narrow = vocab < 60_000
     room = (1 << 16) - vocab if narrow else (1 << 31) - vocab
     kind, shift = (np.uint32, 16) if narrow else (np.uint64, 32)
-    seq, rules = ids.astype(kind), []
+    seq, rules, known = ids.astype(kind), [], 0
     closes = np.zeros(len(seq), bool)
     closes[ends[1:] - 1] = True
-    while len(seq) > 1 and len(rules) < room:
-        key = (seq[:-1] << kind(shift)) | seq[1:]
-        inner = ~closes[:-1]
-        ranked = np.sort(key[inner])
-        edge = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]])) if len(ranked) else np.zeros(0, np.int64)
-        n = np.diff(np.append(edge, len(ranked)))
-        often = np.flatnonzero(n >= least)
-        if not len(often):
-            break
-        pick = ranked[edge[often]]
-        pick = pick[np.lexsort((pick, -n[often]))][:min(top, room - len(rules))]
+    pairs, often = _frequent(((seq[:-1] << kind(shift)) | seq[1:])[~closes[:-1]], least)
+    while len(pairs) and known < room:
+        best = np.lexsort((pairs, -often))[:min(top, room - known)]
         # an open table finds the pairs; of pairs on one place the most frequent is taken now
-        slot = _slot(pick)
-        _, one = np.unique(slot, return_index=True)
-        pick = pick[np.sort(one)]
-        place = np.full(_SLOTS, -1, np.int32)
-        place[_slot(pick)] = np.arange(len(pick), dtype=np.int32)
-        where = place[_slot(key)]
-        at = np.flatnonzero(where >= 0)
-        at = at[(pick[where[at]] == key[at]) & inner[at]]
+        _, one = np.unique(_slot(pairs[best]), return_index=True)
+        best = best[np.sort(one)]
+        pick, slot = pairs[best], _slot(pairs[best])
+        key = (seq[:-1] << kind(shift)) | seq[1:]
+        used = np.zeros(_SLOTS, bool)
+        used[slot] = True
+        place = np.zeros(_SLOTS, np.int32)
+        place[slot] = np.arange(len(pick), dtype=np.int32)
+        spot = _slot(key)
+        at = np.flatnonzero(used[spot])
+        where = place[spot[at]]
+        hit = (pick[where] == key[at]) & ~closes[at]
+        at, where = at[hit], where[hit]
         # runs of neighbouring hits overlap: every second one of a run is replaced
         begins = np.ones(len(at), bool)
         begins[1:] = np.diff(at) != 1
         run = np.maximum.accumulate(np.where(begins, np.arange(len(at)), 0))
-        at = at[(np.arange(len(at)) - run) % 2 == 0]
-        seq[at] = vocab + len(rules) + where[at]
+        even = (np.arange(len(at)) - run) % 2 == 0
+        at, where = at[even], where[even]
+        # every place of a picked pair is gone now; other old pairs only lose the places beside a new symbol
+        rest = np.ones(len(pairs), bool)
+        rest[best] = False
+        pairs, often = pairs[rest], often[rest]
+        if len(pairs):
+            lost = np.concatenate([at[np.diff(at, prepend=-3) != 2] - 1, at + 1])
+            lost = lost[(lost >= 0) & (lost < len(key))]
+            lost = key[lost[~closes[lost]]]
+            up = np.argsort(pairs)
+            pairs, often = pairs[up], often[up]
+            slot = np.minimum(np.searchsorted(pairs, lost), len(pairs) - 1)
+            often = often - np.bincount(slot[pairs[slot] == lost], minlength=len(pairs))
+            pairs, often = pairs[often >= least], often[often >= least]
+        seq[at] = vocab + known + where
         closes[at] |= closes[at + 1]
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
         seq, closes = seq[keep], closes[keep]
-        rules += [(int(p) >> shift, int(p) & ((1 << shift) - 1)) for p in pick]
+        # new pairs have a new symbol: they stand beside the places replaced
+        at -= np.arange(len(at))
+        near = np.concatenate([at[np.diff(at, prepend=-2) != 1] - 1, at])
+        near = near[(near >= 0) & (near < len(seq) - 1)]
+        near = near[~closes[near]]
+        new, n = _frequent((seq[near] << kind(shift)) | seq[near + 1], least)
+        pairs, often = np.concatenate([pairs, new]), np.concatenate([often, n])
+        rules.append(np.stack([pick >> kind(shift), pick & kind((1 << shift) - 1)], axis=1).astype(np.uint32))
+        known += len(pick)
     off = np.concatenate([[0], np.flatnonzero(closes) + 1])
-    return seq, off, np.array(rules, np.uint32).reshape(-1, 2)
+    return seq, off, np.concatenate([np.zeros((0, 2), np.uint32), *rules])
+
+
+def _frequent(keys: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """The keys that stand at ``least`` places or more, ascending, and their counts."""
+    ranked = np.sort(keys)
+    if len(ranked) < least:
+        return ranked[:0], np.zeros(0, np.int64)
+    # a key with ``least`` places has the same key so far behind its first one
+    far = ranked[least - 1:] == ranked[:len(ranked) - least + 1]
+    first = np.flatnonzero(far & np.append(True, ranked[1:len(far)] != ranked[:len(far) - 1]))
+    return ranked[first], np.searchsorted(ranked, ranked[first], "right") - first
 
 
 _SLOTS = 1 << 18
@@ -191,10 +339,19 @@ def _slot(key: np.ndarray) -> np.ndarray:
     return (key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(46)
 
 
+def _levels(rules: np.ndarray, vocab: int):
+    """Bounds of consecutive rules that only use symbols known before the first of them."""
+    uses, lo = np.maximum.accumulate(rules.max(axis=1, initial=0).astype(np.int64)), 0
+    while lo < len(rules):
+        hi = int(np.searchsorted(uses, vocab + lo))
+        yield lo, hi
+        lo = hi
+
+
 def expansion_lengths(rules: np.ndarray, vocab: int) -> np.ndarray:
     n = np.ones(vocab + len(rules), np.int64)
-    for k, (a, b) in enumerate(rules):
-        n[vocab + k] = n[a] + n[b]
+    for lo, hi in _levels(rules, vocab):
+        n[vocab + lo:vocab + hi] = n[rules[lo:hi]].sum(axis=1)
     return n
 
 
@@ -232,14 +389,13 @@ class Block:
         self.offsets = take("<u8", n + 1).astype(np.int64)
         self.counts = take("<u8", n).astype(np.int64)
         self.symbols = take(f"<u{width}", n_symbols).astype(np.int64)
-        flat = np.zeros(int(self.length.sum()), np.uint32)
+        self.flat = np.zeros(int(self.length.sum()), np.uint32)
         self.place = np.cumsum(self.length) - self.length
-        flat[:self.vocab] = np.arange(self.vocab)
-        for k, (a, b) in enumerate(self.rules):
-            p, na, nb = self.place[self.vocab + k], self.length[a], self.length[b]
-            flat[p:p + na] = flat[self.place[a]:self.place[a] + na]
-            flat[p + na:p + na + nb] = flat[self.place[b]:self.place[b] + nb]
-        self.flat = flat
+        self.flat[:self.vocab] = np.arange(self.vocab)
+        for lo, hi in _levels(self.rules, self.vocab):
+            ids = self._expand(self.rules[lo:hi].ravel())
+            begin = self.place[self.vocab + lo]
+            self.flat[begin:begin + len(ids)] = ids
 
     def _expand(self, symbols: np.ndarray) -> np.ndarray:
         n = self.length[symbols]
@@ -266,9 +422,11 @@ def _pack_rows(path: str):
                  pa.array([held], pa.int64()), pa.array([pack(ids, toks, enc.vocab)], pa.binary())], names)
 
         for b in batches:
-            for lo in range(0, b.num_rows, 256):
-                texts = [t or "" for t in b.column("text")[lo:lo + 256].to_pylist()]
-                for i, t in zip(b.column("doc_id")[lo:lo + 256].to_pylist(), enc(texts)):
+            n = pc.fill_null(pc.binary_length(b.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            cuts = [0, *(np.flatnonzero(np.diff((np.cumsum(n) - n) // SLICE_CHARS)) + 1).tolist(), b.num_rows]
+            for lo, hi in zip(cuts, cuts[1:]):
+                texts = [t or "" for t in b.column("text")[lo:hi].to_pylist()]
+                for i, t in zip(b.column("doc_id")[lo:hi].to_pylist(), enc(texts)):
                     ids.append(i), toks.append(t)
                     held += len(t)
                     if held >= BLOCK_TOKENS:

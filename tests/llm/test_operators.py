@@ -113,6 +113,56 @@ def test_encoder_equals_the_library(monkeypatch):
     assert max(len(m) + len(m.before) for m in (enc.word, enc.piece, enc.head)) <= 80
 
 
+def test_new_words_are_merged_together(monkeypatch):
+    import random
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path, r, calls = public_tokenizers.path("byte_bpe_50k.json"), random.Random(8), []
+    plain = Tokenizer.from_file(path)
+
+    class Counted:
+        def __init__(self, tok):
+            self.tok = tok
+
+        def encode_batch_fast(self, texts, **kw):
+            calls.append(len(texts))
+            return self.tok.encode_batch_fast(texts, **kw)
+
+    def word():
+        return "".join(r.choices("abcdeéßñ", k=r.randint(3, 12))) + r.choice(["", "", "", ".", "?!", "-x", "'s", "7"])
+
+    gaps = [" "] * 30 + ["\n", "\n\n"]
+    texts = ["".join(word() + r.choice(gaps) for _ in range(60)) for _ in range(100)]
+    gaps += ["\n ", "  ", " \n", "\t", " \t "]
+    texts += ["".join(word() + r.choice(gaps) for _ in range(60)) for _ in range(100)]
+    texts += ["", " ", "\n", "\n\n", " \n", "\n ", "a ", " a", "\na", "a\n", "a\n\nb", "a\n b", "a \nb", "a\n  b", "a  b", "\ta b", "a\t b", "a b\t"]
+    want = [plain.encode(t, add_special_tokens=False).ids + [0] for t in texts]
+    enc = tokens.Encoder(path)
+    enc.merges = Counted(enc.merges)
+    assert [g.tolist() for g in enc(texts)] == want
+    assert len({w for t in texts for w in t.split()}) > 5000 and sum(calls) < 500      # a call for each new word before
+    enc = tokens.Encoder(path)
+    enc.together = 1                                     # as with a vocabulary that merges the parting byte
+    assert [g.tolist() for g in enc(texts)] == want
+
+
+def test_repair_recounts_only_beside_new_symbols(monkeypatch):
+    seen, count = [], tokens._frequent
+    monkeypatch.setattr(tokens, "_frequent", lambda keys, least: seen.append(len(keys)) or count(keys, least))
+    ids = np.random.default_rng(2).zipf(1.3, 60_000).clip(max=50_000).astype(np.uint32)
+    ends = np.array([0, 7, 20_000, len(ids)])
+    symbols, off, rules = tokens.repair(ids, ends, 50257, top=50)
+    flat = [[i] for i in range(50257)]
+    for a, b in rules.tolist():
+        flat.append(flat[a] + flat[b])
+    docs = [[i for s in symbols[a:z].tolist() for i in flat[s]] for a, z in zip(off, off[1:])]
+    assert docs == [ids[a:z].tolist() for a, z in zip(ends, ends[1:])]
+    assert (tokens.expansion_lengths(rules, 50257) == [len(f) for f in flat]).all()
+    assert len(seen) > 4 and sum(seen) < 3 * len(ids)     # all places in each round before
+
+
 def test_near_duplicates(docs, empty):
     assert neardup.near_duplicates(empty).count() == 0
     got = collections.defaultdict(set)
