@@ -91,13 +91,13 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return buf[off[0]:off[-1]] if n else buf[:0], off - off[0]
 
 
-def chunks(column: pa.Array, size: int = CHUNK) -> Iterator[Chunk]:
-    """Whole documents in order, about ``size`` bytes (and at most CHUNK_DOCS) at a time."""
+def chunks(column: pa.Array, size: int = CHUNK, docs: int = CHUNK_DOCS) -> Iterator[Chunk]:
+    """Whole documents in order, about ``size`` bytes (and at most ``docs`` documents) at a time."""
     buf, off = text_buffers(column)
     i, n = 0, len(off) - 1
     while i < n:
         j = max(i + 1, int(np.searchsorted(off, off[i] + size, side="right")) - 1)
-        j = min(j, n, i + CHUNK_DOCS)
+        j = min(j, n, i + docs)
         yield Chunk(buf[off[i]:off[j]], off[i:j + 1] - off[i], i)
         i = j
 

@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -199,6 +200,31 @@ def test_quality_learns_and_survives_gaps(spark, docs, empty):
     assert quality.score(docs, none, ["doc_id"]).count() == len(TEXTS)
 
 
+def test_quality_counts_in_bounded_memory(monkeypatch):
+    texts = [BODY[i % 50:] * 3 for i in range(900)] + [None, "", "a B 1!"] * 700
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": texts})
+    codes = lambda: [x for b in quality._codes([batch]) for x in b.column("codes").to_pylist()]
+    want = codes()                           # the tables of powers are made at the first call
+    tracemalloc.start()
+    try:
+        assert codes() == want
+        assert tracemalloc.get_traced_memory()[1] < 80 << 20
+    finally:
+        tracemalloc.stop()
+    monkeypatch.setattr(quality, "PART_DOCS", 1)
+    assert codes() == want
+
+
+def test_quality_sends_the_text_once(docs):
+    model = quality.Model(np.zeros((quality.GRAMS, quality.LEVELS)), 0.0, 1.0, 0.0)
+    for keep in (["doc_id"], ["doc_id", "text", "lang"]):
+        got = quality.score(docs, model, keep)
+        assert got.columns == [*keep, "score"]
+        plan = got._jdf.queryExecution().analyzed().toString()
+        assert plan.count("text#") == plan.replace("_text#", "").count("text#")
+        assert sorted(map(str, got.select(*keep).collect())) == sorted(map(str, docs.select(*keep).collect()))
+
+
 def test_temporal_lists(spark):
     cap = spark.createDataFrame([(1, "a.b.com", 5), (2, "a.b.com", 15), (3, "b.com", 12), (4, "", 3), (5, None, 3), (6, "a.b.com", None)],
                                 "page_id long, host string, day long")
