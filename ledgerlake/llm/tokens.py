@@ -443,6 +443,7 @@ def _pack_rows(path: str):
                         ids, toks, held, block = [], [], 0, block + 1
         if ids:
             yield row()
+        pa.default_memory_pool().release_unused()           # the worker stays; other steps' tasks need the room
     return run
 
 
